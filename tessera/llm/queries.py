@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, mixing, quality_rules, simhash_dedup
+from tessera.llm import decontam, line_dedup, mixing, quality_rules, simhash_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.digest(_read(spark, d, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.digest(_read(spark, d, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.assess(_read(spark, d, "documents"))
 
@@ -28,8 +32,8 @@ def op10_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix, op6_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_line_dedup, op6_quality_rules, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.SQL}

@@ -29,20 +29,28 @@ VARIABLE = "<*>"
 
 def masked(line: Column) -> Column:
     """The line with single spaces and its variable words generalised."""
-    plain = F.trim(F.regexp_replace(line, SPACE, " "))
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    plain = F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line)
+    plain = F.trim(plain)
     return F.when(plain.rlike("[0-9@]"), F.regexp_replace(plain, r"[^ ]*[0-9@][^ ]*", VARIABLE)).otherwise(plain)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """One row per line with a word, from (key, doc_id, text): its number, leaf, digests and stretches."""
-    rows = docs.select("key", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select("key", "doc_id", "line_no", masked(F.col("line")).alias("line")).where("line <> ''")
-    words = F.split("line", " ")
-    rows = rows.withColumn("n", F.length("line") - F.length(F.translate("line", " ", "")) + 1)
-    step = F.ceil((F.col("n") - DEPTH) / PIECES).cast("int")
-    at = lambda k: F.xxhash64(F.slice(words, F.lit(DEPTH + 1) + step * k, step))
+    """One row per line with a word, from (key, doc_id, text): its number, leaf, digests and stretches.
+
+    Columns are made one step at a time, so that no expression is evaluated twice for a line.
+    """
+    blank = F.btrim("line", F.lit(" \t\x0b\x0c\r")) == ""
+    rows = docs.select("key", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(~blank)
+    rows = rows.select("key", "doc_id", "line_no", masked(F.col("line")).alias("line"))
+    rows = rows.select("*", F.split("line", " ").alias("words"))
+    rows = rows.select("*", F.size("words").alias("n"), F.ceil((F.size("words") - DEPTH) / PIECES).cast("int").alias("step"))
+    at = lambda k: F.xxhash64(F.slice("words", F.lit(DEPTH + 1) + F.col("step") * k, F.col("step")))
     return rows.select(
         "key", "doc_id", "line_no",
-        F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf"),
+        F.xxhash64("n", F.slice("words", 1, DEPTH)).alias("leaf"),
         F.xxhash64("line").alias("h1"),
         F.xxhash64(F.lit(1), "line").alias("h2"),
         *[F.when(F.col("n") >= GENERAL, at(k)).alias(f"s{k}") for k in range(PIECES)],

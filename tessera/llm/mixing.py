@@ -9,8 +9,8 @@ all rows is many pieces.  Sums are fixed-point integers: reruns agree on any num
 
 Defined results: a null text has size 0; a null source is a source, last in order; repeated rows
 share what their sum crosses, each as often as its own stretch says; an empty table gives an empty result;
-a source of size 0 has target 0 and nothing is taken.  Columns of the input named like a computed one
-(size, source_size, target, copies) are replaced.
+a source of size 0 has target 0 and nothing is taken.  ``stage`` replaces columns of the input named
+size, source_size, target, copies or copy.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD
+from tessera.llm.common import WORD, Scratch
 
 WEIGHTS, CAP, BUCKETS, CLASSES_PER_OCTAVE, SEED = (5, 2, 1), 3, 256, 4, 20240607
 #: Fixed point: copies count in units of 2 ** -BITS.
@@ -59,50 +59,68 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 def systematic(rows: DataFrame, strata: list[str], bucket: list[str], expected: str, order: list, offset: Column) -> DataFrame:
     """Adds ``copies``: the integers crossed by each row's stretch of the prefix sum of ``expected`` (fixed point) within a stratum.
 
-    bucket: columns that split a stratum into bounded pieces, in order; order: within a piece; offset: of the stratum, fixed point.
+    bucket: columns that split a stratum into pieces, pieces of pieces and so on, in order; order: within the
+    smallest; offset: of the stratum, fixed point.  Sums go up level by level, so that no task sees more than
+    the pieces of one piece.
     """
     one = F.lit(1 << BITS).cast("decimal(38,0)")
     keys = [*strata, *bucket]
-    pieces = rows.groupBy(*keys).agg(F.sum(F.col(expected).cast("decimal(20,0)")).cast("decimal(38,0)").alias("__piece"))
-    run = Window.partitionBy(*strata).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select(*keys, F.coalesce(F.sum("__piece").over(run), F.lit(0)).cast("decimal(38,0)").alias("__base"))
+    total = rows.groupBy(*keys).agg(F.sum(F.col(expected).cast("decimal(20,0)")).cast("decimal(38,0)").alias("__sum"))
+    base = None
+    for depth in range(len(bucket) - 1, -1, -1):
+        above, own = [*strata, *bucket[:depth]], [*strata, *bucket[: depth + 1]]
+        run = Window.partitionBy(*above).orderBy(bucket[depth]).rowsBetween(Window.unboundedPreceding, -1)
+        level = total.select(*own, F.coalesce(F.sum("__sum").over(run), F.lit(0)).cast("decimal(38,0)").alias(f"__base{depth}"))
+        base = level if base is None else base.join(level, own)
+        total = total.groupBy(*above).agg(F.sum("__sum").cast("decimal(38,0)").alias("__sum"))
+    bases = [f"__base{depth}" for depth in range(len(bucket))]
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     prefix = F.coalesce(F.sum(F.col(expected).cast("decimal(20,0)")).over(w), F.lit(0)).cast("decimal(38,0)")
-    own = rows.withColumn("__own", prefix).join(pieces, keys)
-    place = F.pmod((F.col("__own") + F.col("__base") + offset.cast("decimal(20,0)")).cast("decimal(38,0)"), one).cast("bigint")
-    return own.withColumn("copies", F.shiftright(place + F.col(expected), BITS)).drop("__own", "__base")
+    own = rows.withColumn("__own", prefix).join(base, keys)
+    place = F.pmod((sum((F.col(c) for c in bases), F.col("__own")) + offset.cast("decimal(20,0)")).cast("decimal(38,0)"), one).cast("bigint")
+    return own.withColumn("copies", F.shiftright(place + F.col(expected), BITS)).drop("__own", *bases)
 
 
-def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """The input's columns with size, source_size, target (double) and copies (long, 0 to ``cap``) of each row."""
-    docs = docs.drop("source_size", "target", "copies")
-    rows = docs.withColumn("size", size_of(F.col(text_col))).select(
-        "*",
-        F.col(source_col).isNull().alias("none"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"),
+def mix(docs: DataFrame, scratch: Scratch, carry: list[str], seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The columns ``carry`` with size, source_size, target (double) and copies (long, 0 to ``cap``) of each row.
+
+    Texts are read once, to measure them; they are shuffled only when carried.
+    """
+    held = [f"c{i}" for i in range(len(carry))]  # so that no column of the input clashes
+    rows = docs.select(*[docs[c].alias(h) for c, h in zip(carry, held)], docs[id_col].alias("__id"), docs[text_col].alias("__text"), docs[source_col].cast("string").alias("__source"))
+    rows = rows.select("*", size_of(F.col("__text")).alias("size")).select(
+        *held,
+        "__id",
+        "size",
+        F.col("__source").isNull().alias("none"),
+        F.coalesce("__source", F.lit("")).alias("name"),
         F.floor(CLASSES_PER_OCTAVE * F.log2(F.col("size") + 1)).cast("int").alias("__class"),
-        F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(BUCKETS)).cast("int").alias("__bucket"),
+        F.pmod(F.xxhash64(F.lit(seed), "__id", "__text"), F.lit(BUCKETS)).cast("int").alias("__bucket"),
+        F.xxhash64("__text").alias("__tie"),
     )
-    narrow = docs.select(size_of(F.col(text_col)).alias("size"), F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"))
-    goal = targets(narrow.groupBy("none", "name").agg(F.sum("size").alias("source_size")), weights, cap)
+    rows = scratch.table(rows, "measured")
+    goal = targets(rows.groupBy("none", "name").agg(F.sum("size").alias("source_size")), weights, cap)
     share = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     goal = goal.withColumn("__expected", F.least(F.floor(share * (1 << BITS)), F.lit(cap << BITS)).cast("bigint"))
-    rows = rows.join(goal, ["none", "name"])
+    goal = scratch.table(goal, "goal")
     offset = F.pmod(F.xxhash64(F.lit(seed), "none", "name"), F.lit(1 << BITS))
-    out = systematic(rows, ["none", "name"], ["__class", "__bucket"], "__expected", ["size", F.col(id_col), F.xxhash64(text_col)], offset)
-    return out.drop("none", "name", "__class", "__bucket", "__expected")
+    out = systematic(rows.join(goal, ["none", "name"]), ["none", "name"], ["__class", "__bucket"], "__expected", ["size", "__id", "__tie"], offset)
+    return out.select(*[F.col(h).alias(c) for c, h in zip(carry, held)], "size", "source_size", "target", "copies")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    mixed = mix(docs.select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    with Scratch(docs.sparkSession) as scratch:
+        mixed = mix(docs.select("doc_id", "source", "text"), scratch, ["doc_id"])
+        return scratch.result(mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")))
 
 
 def stage(spark, docs: DataFrame) -> DataFrame:
     """The mix: a document once for each copy taken, with ``copy`` from 1; other columns as they came.
 
-    Documents without a word weigh nothing and are not sampled by words; they follow their source's rate like others.
+    A document without a word weighs nothing and follows its source's rate like others.
     """
-    cols = docs.columns
-    mixed = mix(docs).where("copies > 0")
-    return mixed.select(*cols, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
+    base = docs.drop("size", "source_size", "target", "copies", "copy")
+    with Scratch(spark) as scratch:
+        mixed = mix(base, scratch, base.columns).where("copies > 0").drop("size", "source_size", "target")
+        return scratch.result(mixed.select(*base.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")))
+

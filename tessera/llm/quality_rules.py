@@ -1,6 +1,6 @@
 """Line-first quality rules.
 
-Every line is judged by itself: prose must end like a sentence, navigation is known by its separators,
+Every line is judged by itself: prose must hold a sentence mark, navigation is known by its separators,
 symbol noise and shouting by their share, chants by one word's share, boilerplate by fixed phrases.
 Failing lines are removed; a document that loses too much of its words that way is rejected, as is one
 that fails the base rules.
@@ -25,9 +25,8 @@ MIN_WORDS, MAX_REPEAT_SHARE, MAX_LOST_SHARE = 50, 0.5, 0.5
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
-#: A sentence may end in one of these, closing quotes and brackets aside.
-ENDINGS = tuple(".!?…:;。！？।؟")
-CLOSING = "\"')]}»”’"
+#: Prose has one of these somewhere in a line, even where its end was cut.
+MARKS = ".!?…:;,。！？।؟、，"
 SEPARATORS = {"|", "»", "›", ">", "•", "·", "::", "/"}
 BOILERPLATE = re.compile(
     r"all rights reserved|licensed under|released under the .{1,40} licen[cs]e|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies"
@@ -55,7 +54,7 @@ def line_fault(line: str) -> str | None:
             return "shouting"
     if n >= 8 and max(Counter(w).values()) * 2 > n:
         return "chant"
-    if n >= 3 and not line.rstrip().rstrip(CLOSING).endswith(ENDINGS):
+    if n >= 3 and not any(c in line for c in MARKS):
         return "punctuation"
     return None
 

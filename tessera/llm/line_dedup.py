@@ -89,7 +89,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         gone = Scratch(docs.sparkSession).result(dropped(docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), text.alias("text")), scratch), "gone")
     names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of the input clashes
     text = F.col(names[docs.columns.index(text_col)])
-    out = docs.withColumn("__key", key).toDF(*names, "key").join(gone, "key", "left")
+    out = docs.withColumn("__key", key).toDF(*names, "key").join(gone.hint("merge"), "key", "left")  # one plan at every size
     kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.get("flags", i), F.lit(False)))
     return out.select(
         *[F.col(n).alias(c) for n, c in zip(names, docs.columns) if c not in (text_col, "n_lines", "n_dropped")],

@@ -241,7 +241,8 @@ def dedup_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, id_col:
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("k"), F.hash("text", "doc_id").alias("k2"), "doc_id", F.octet_length("text").alias("n_bytes"), "text")
     found = scratch.table(rows.where(F.col("n_bytes") >= length).select("k", "k2", "n_bytes", "text").mapInArrow(_find(length), "k bigint, k2 int, p int, n int, a int, h bigint, g bigint"), "anchors")
-    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # written first, so that the join deals both sides anew and a digest with very many rows can be split
+    twice = scratch.table(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "twice")
     shared = scratch.table(found.join(twice, "h"), "shared")
     scratch.drop("anchors")
     segments = shared.groupBy("h", "g").agg(F.count("*").alias("m"), F.min(F.struct("k", "k2", "p")).alias("rep"))

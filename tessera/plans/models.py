@@ -1 +1,103 @@
-"""To come."""
+"""Nearest neighbours and estimators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.catalog import query
+from tessera.operators import models as M
+from tessera.sources.tables import table
+
+_KNN = """WITH q AS (SELECT vec_id AS q, embedding AS v, label AS y FROM embeddings WHERE vec_id % 20 = 0), t AS (SELECT * FROM embeddings WHERE vec_id % 20 <> 0),
+ n AS (SELECT q, vec_id, label, row_number() OVER (PARTITION BY q ORDER BY list_sum(list_transform(list_zip(v, embedding), lambda p: pow(p[1]::double - p[2]::double, 2))), vec_id) AS r FROM q, t)"""
+
+
+def _sides(s, d):
+    """Queries are the rows whose id is divisible by 20, the others train."""
+    e = table(s, d, "embeddings")
+    return e.where("vec_id % 20 <> 0"), e.where("vec_id % 20 = 0")
+
+
+@query(f"{_KNN}, c AS (SELECT q, label, count(*) AS n FROM n WHERE r <= 5 GROUP BY 1, 2) SELECT q, arg_max(label, n * 1000 - label) AS pred FROM c GROUP BY 1")
+def knn_classify_5(s, d):
+    """Most frequent label of the five nearest, the smaller on a tie."""
+    train, queries = _sides(s, d)
+    near = M.nearest(train, queries, 5, "vec_id", "embedding", "label")
+    votes = near.groupBy("q", "label").agg(F.count("*").alias("n"))
+    return votes.groupBy("q").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("pred"))
+
+
+@query(f"{_KNN} SELECT k::bigint AS k, q, round(avg(label), 6) AS pred FROM n JOIN (VALUES (1), (7), (15)) p(k) ON r <= k GROUP BY 1, 2")
+def knn_regress_sweep(s, d):
+    """Every k of the sweep from one search."""
+    train, queries = _sides(s, d)
+    near = M.nearest(train, queries, 15, "vec_id", "embedding", "label")
+    rows = near.withColumn("k", F.explode(F.array(*[F.lit(k).cast("bigint") for k in (1, 7, 15)]))).where("rank <= k")
+    return rows.groupBy("k", "q").agg(F.round(F.avg("label"), 6).alias("pred"))
+
+
+def _binary(s, d):
+    e = M.as_vector(table(s, d, "embeddings").withColumn("label", (F.col("label") >= 5).cast("double")), "embedding")
+    return e.where("vec_id % 4 <> 0"), e.where("vec_id % 4 = 0")
+
+
+def _accuracy(pred):
+    return pred.agg(F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
+
+
+@query()
+def logreg(s, d):
+    return _accuracy(M.fit_predict("logreg", *_binary(s, d)))
+
+
+@query()
+def logreg_balanced(s, d):
+    train, test = _binary(s, d)
+    return _accuracy(M.fit_predict("logreg_weighted", M.balanced(train, "label"), test.withColumn("weight", F.lit(1.0))))
+
+
+@query()
+def gaussian_nb(s, d):
+    return _accuracy(M.fit_predict("gaussian_nb", *_binary(s, d)))
+
+
+@query()
+def linear_svc(s, d):
+    return _accuracy(M.fit_predict("linear_svc", *_binary(s, d)))
+
+
+def _numeric(s, d):
+    rows = M.assembled(table(s, d, "lineitem").withColumn("label", F.col("l_extendedprice")), ["l_quantity", "l_discount", "l_tax"])
+    return rows.where("l_orderkey % 4 <> 0"), rows.where("l_orderkey % 4 = 0")
+
+
+def _error(pred):
+    return pred.agg(F.round(F.avg(F.abs(F.col("prediction") - F.col("label"))), 4).alias("mae"), F.count("*").alias("n"))
+
+
+@query()
+def random_forest(s, d):
+    return _error(M.fit_predict("random_forest", *_numeric(s, d), trees=10))
+
+
+@query()
+def linear_regression(s, d):
+    return _error(M.fit_predict("linear_regression", *_numeric(s, d)))
+
+
+@query()
+def kmeans(s, d):
+    rows = M.as_vector(table(s, d, "embeddings"), "embedding")
+    return M.fit_predict("kmeans", rows, rows).groupBy("prediction").agg(F.count("*").alias("n"))
+
+
+@query()
+def model_comparison(s, d):
+    """One row per model; they are fitted by the driver one after another, data stays where it is."""
+    train, test = _binary(s, d)
+    out = None
+    for kind in ("logreg", "gaussian_nb", "linear_svc"):
+        row = _accuracy(M.fit_predict(kind, train, test)).withColumn("model", F.lit(kind))
+        out = row if out is None else out.unionByName(row)
+    return out
+

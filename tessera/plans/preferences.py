@@ -32,7 +32,7 @@ def dedupe_prompts(s, d):
 
 @query("SELECT conv_id, turn, g::bigint AS g FROM conversations, range(1, 5) r(g)")
 def group_repeat(s, d):
-    return table(s, d, "conversations").select("conv_id", "turn", F.explode(F.sequence(F.lit(1), F.lit(4))).cast("bigint").alias("g"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(4).cast("bigint"))).alias("g"))
 
 
 @query("SELECT conv_id, turn, coalesce(lead(text) OVER w, first_value(text) OVER w) AS kl_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")

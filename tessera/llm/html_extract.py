@@ -4,7 +4,7 @@ A page streams through the standard library's parser.  Block elements cut it int
 text and the number of tags met in it; what stands in menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles or reader comments is dropped on the way.  The ratio of text to tags per line is
 smoothed with a Gaussian kernel, and lines above the threshold (the mean, lowered by half a standard
-deviation) cluster into content.  The region is every line of the elements (article, main, else body)
+deviation; all lines where they hardly differ) cluster into content.  The region is every line of the elements (article, main, else body)
 that hold the clusters, so short paragraphs inside the article stay.
 
 Defined results: a null or empty page has empty text; broken or cut markup is read as far as it goes; each row is
@@ -59,7 +59,7 @@ class _Reader(HTMLParser):
             self.text = []
 
     def handle_starttag(self, tag, attrs):
-        self.tags += 1
+        self.tags += not self.dropped
         if tag in BLOCK:
             self.cut()
         elif tag == "br":
@@ -85,7 +85,7 @@ class _Reader(HTMLParser):
         del self.open[at:]
 
     def handle_endtag(self, tag):
-        self.tags += 1
+        self.tags += not self.dropped
         if tag in BLOCK:
             self.cut()
         for at in range(len(self.open) - 1, -1, -1):
@@ -131,7 +131,7 @@ def blocks(html: str | None) -> list[str]:
     level = smoothed([len(t) / (tags + 1) for t, tags, _ in lines])
     mean = sum(level) / len(level)
     spread = math.sqrt(sum((x - mean) ** 2 for x in level) / len(level))
-    content = [x >= mean - spread / 2 for x in level]
+    content = [x >= mean - spread / 2 or spread < mean / 2 for x in level]
     weight: dict[int, int] = {}
     for (t, _, holder), inside in zip(lines, content):
         weight[holder] = weight.get(holder, 0) + inside * len(t)

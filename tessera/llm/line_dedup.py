@@ -1,6 +1,7 @@
 """Line dedup with a log-template tree, in DataFrame operations only.
 
-A line's words are its fields; a word with a digit or an at sign is a variable field at once.  The line
+A line's words are its fields; a word with a digit or an at sign is a variable field at once,
+unless such words make up more than ``MOST`` percent of the line (a table's row keeps its numbers).  The line
 goes down a tree of fixed depth: first by its number of words, then by its leading ``DEPTH`` words, to a
 leaf.  The earliest line of a leaf is its template: its remaining words are cut into ``PIECES`` stretches,
 a line that agrees on four of five is an instance and the stretch that differs is a variable field of the
@@ -22,21 +23,32 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
 
-DEPTH, PIECES, AGREE, GENERAL = 8, 5, 4, 18
+DEPTH, PIECES, AGREE, GENERAL, MOST = 8, 5, 4, 18, 40
 SPACE = r"[\x20\x09-\x0D]+"
 VARIABLE = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """The line with single spaces and its variable words generalised."""
+def plain_line(line: Column) -> Column:
+    """The line with single spaces."""
     odd = F.contains(line, F.lit("  "))
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(line, F.lit(c))
     plain = F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line)
     plain = F.trim(plain)
+    return plain
+
+
+def generalised(plain: Column) -> Column:
+    """The line with its variable words generalised, if they are few enough."""
     return F.when(plain.rlike("[0-9@]"), F.regexp_replace(plain, r"[^ ]*[0-9@][^ ]*", VARIABLE)).otherwise(plain)
 
 
+def few(line: Column) -> Column:
+    """Whether generalised words are at most ``MOST`` percent of a line with single spaces."""
+    fields = (F.length(line) - F.length(F.replace(line, F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
+    return fields * 100 <= (F.length(line) - F.length(F.translate(line, " ", "")) + 1) * MOST
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """One row per line with a word, from (key, doc_id, text): its number, leaf, digests and stretches.
 
@@ -44,7 +56,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """
     blank = F.btrim("line", F.lit(" \t\x0b\x0c\r")) == ""
     rows = docs.select("key", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(~blank)
-    rows = rows.select("key", "doc_id", "line_no", masked(F.col("line")).alias("line"))
+    rows = rows.select("key", "doc_id", "line_no", plain_line(F.col("line")).alias("plain"))
+    rows = rows.select("key", "doc_id", "line_no", "plain", generalised(F.col("plain")).alias("mask"))
+    rows = rows.select("key", "doc_id", "line_no", F.when(few(F.col("mask")), F.col("mask")).otherwise(F.col("plain")).alias("line"))
     rows = rows.select("*", F.split("line", " ").alias("words"))
     rows = rows.select("*", F.size("words").alias("n"), F.ceil((F.size("words") - DEPTH) / PIECES).cast("int").alias("step"))
     at = lambda k: F.xxhash64(F.slice("words", F.lit(DEPTH + 1) + F.col("step") * k, F.col("step")))
@@ -117,7 +131,8 @@ WITH lines AS (
   SELECT doc_id, u.i - 1 AS line_no, trim(regexp_replace(u.line, '[\x20\x09-\x0D]+', ' ', 'g')) AS plain
   FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: struct_pack(line := x, i := i))) AS u FROM documents)
 ), shown AS (
-  SELECT doc_id, line_no, regexp_replace(plain, '[^ ]*[0-9@][^ ]*', '{VARIABLE}', 'g') AS line FROM lines WHERE plain <> ''
+  SELECT doc_id, line_no, CASE WHEN (length(mask) - length(replace(mask, '{VARIABLE}', ''))) / {len(VARIABLE)} * 100 <= len(string_split(mask, ' ')) * {MOST} THEN mask ELSE plain END AS line
+  FROM (SELECT *, regexp_replace(plain, '[^ ]*[0-9@][^ ]*', '{VARIABLE}', 'g') AS mask FROM lines WHERE plain <> '')
 ), fields AS (SELECT *, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n FROM shown
 ), parts AS (
   SELECT *, n::VARCHAR || ' ' || array_to_string(w[1:{DEPTH}], ' ') AS leaf, CASE WHEN n >= {GENERAL} THEN list_transform(range({PIECES}), lambda k: array_to_string(w[{DEPTH} + 1 + k * ceil((n - {DEPTH}) / {PIECES})::INT : {DEPTH} + (k + 1) * ceil((n - {DEPTH}) / {PIECES})::INT], ' ')) END AS s

@@ -77,21 +77,24 @@ def shifted(a, by: int = 1) -> Column:
     return F.slice(a, by + 1, F.greatest(F.size(a) - by, F.lit(0)))
 
 
-def log_sum_exp(a) -> Column:
+def _minus(a, value) -> Column:
+    """Every element less one value.  The value is repeated first: inside a lambda it would be worked out for each element."""
     a = col(a)
-    m = F.array_max(a)
-    return m + F.log(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - m)))
+    return F.zip_with(a, F.array_repeat(value, F.size(a)), lambda x, v: x - v)
+
+
+def log_sum_exp(a) -> Column:
+    m = F.array_max(col(a))
+    return m + F.log(F.aggregate(_minus(a, m), F.lit(0.0), lambda s, x: s + F.exp(x)))
 
 
 def log_softmax(a) -> Column:
-    lse = log_sum_exp(a)
-    return F.transform(col(a), lambda x: x - lse)
+    return _minus(a, log_sum_exp(a))
 
 
 def softmax_entropy(a) -> Column:
     """Entropy of the softmax of logits."""
-    lse = log_sum_exp(a)
-    return lse - F.aggregate(col(a), F.lit(0.0), lambda s, x: s + F.exp(x - lse) * x)
+    return -F.aggregate(log_softmax(a), F.lit(0.0), lambda s, x: s + F.exp(x) * x)
 
 
 def discounted_advantages(delta, decay: float) -> Column:

@@ -13,10 +13,15 @@ def long_form(df: DataFrame, stats: dict[str, dict[str, Column]], key: str = "co
     return flat.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def quartiles(c: str) -> Column:
+    """The three exact quartiles as an array, from one buffer."""
+    return F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+
+
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, sample deviation, least, exact quartiles (interpolated) and greatest per column."""
-    q = lambda c, p: F.round(F.percentile(c, p), 6)
-    return long_form(df, {c: {"n": F.count(c), "mean": F.round(F.avg(c), 6), "std": F.round(F.stddev_samp(c), 6), "low": F.min(c), "q25": q(c, 0.25), "q50": q(c, 0.5), "q75": q(c, 0.75), "high": F.max(c)} for c in cols})
+    q = lambda c, i: F.round(quartiles(c)[i], 6)
+    return long_form(df, {c: {"n": F.count(c), "mean": F.round(F.avg(c), 6), "std": F.round(F.stddev_samp(c), 6), "low": F.min(c), "q25": q(c, 0), "q50": q(c, 1), "q75": q(c, 2), "high": F.max(c)} for c in cols})
 
 
 def moments(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -74,7 +79,7 @@ def histogram(df: DataFrame, c: str, bins: int) -> DataFrame:
 
 def box(df: DataFrame, c: str, *hues: str) -> DataFrame:
     """Five-number summary per group with whisker ends at 1.5 times the quartile range."""
-    g = df.groupBy(*hues).agg(*[F.percentile(c, p).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))], F.min(c).alias("low"), F.max(c).alias("high"))
+    g = df.groupBy(*hues).agg(*[quartiles(c)[i].alias(f"q{i + 1}") for i in range(3)], F.min(c).alias("low"), F.max(c).alias("high"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     r = lambda x: F.round(x, 6)
     return g.select(*hues, "low", r(F.col("q1")).alias("q1"), r(F.col("q2")).alias("q2"), r(F.col("q3")).alias("q3"), "high", r(F.col("q1") - reach).alias("fence_low"), r(F.col("q3") + reach).alias("fence_high"))

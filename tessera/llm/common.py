@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the word definitions: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,16 +45,20 @@ class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive a lost executor.
 
     ``table`` writes one that goes when the block ends, ``result`` one that stays until the
-    process ends, since the DataFrame handed out still reads it.
+    process ends, since the DataFrame handed out still reads it.  Inside the block Arrow batches are
+    short, as their rows hold whole texts.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", []
 
     def __enter__(self) -> "Scratch":
+        self.before = self.spark.conf.get(BATCH_KEY)
+        self.spark.conf.set(BATCH_KEY, str(min(int(self.before), BATCH_ROWS) if int(self.before) > 0 else BATCH_ROWS))
         return self
 
     def __exit__(self, *exc) -> None:
+        self.spark.conf.set(BATCH_KEY, self.before)
         for path in self.made:
             remove(self.spark, path)
 

@@ -3,7 +3,8 @@
 Fingerprints are computed in Arrow batches.  Two fingerprints at ``radius`` differing bits agree on
 at least ``blocks - radius`` of ``blocks`` equal blocks of bits, so each distinct fingerprint goes,
 once for every choice of that many blocks, to the group of those that agree with it there; a group of
-one is gone before the shuffle of groups.  A task sorts the fingerprints of its groups by Gray rank,
+one is gone before the shuffle of groups.  A group of more than ``HOT`` is split by choices among the halves of
+its other blocks, after which its members agree on 48 of 64 bits: no group has more than 65,536.  A task sorts the fingerprints of its groups by Gray rank,
 builds a tree whose nodes are masked bit patterns shared by all fingerprints below, and walks it for
 all of them at once, adding up the differing bits from the root and dropping a node with its whole
 group when they exceed the radius.  It sends back one row per fingerprint and local component, never
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch
 
 SHINGLE, SEED, RADIUS, BLOCKS, LEVEL_BITS = 3, 42, 2, 4, 4
+#: Fingerprints of a group from which it is split once more.
+HOT = 1024
 #: (fingerprint, node) pairs that a walk holds at a time.
 FRONTIER = 1 << 20
 
@@ -164,17 +167,37 @@ def _local(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """Rows (fp, hub) that connect every two distinct fingerprints within the radius through a common hub."""
+def _choices(pieces: list[int], keep: int, base: int = 0) -> list[int]:
+    """Masks, as signed numbers, of every choice of ``keep`` pieces together with ``base``."""
+    found = [sum(kept, base) for kept in itertools.combinations(pieces, keep)]
+    return [m - (1 << 64) * (m >= 1 << 63) for m in found]
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """The rows (fp, choice, block) of groups of two or more, with the size ``n`` of their group."""
+    several = rows.groupBy("choice", "block").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(several, ["choice", "block"]).select("fp", "choice", "block", "n")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
+    """Rows (fp, hub) that connect every two distinct fingerprints within the radius through a common hub.
+
+    Two of a split group differ in ``radius`` of the ``2 * radius`` halves at most, so they meet in a choice of the others.
+    """
     width = 64 // blocks
-    choices = []
-    for n, kept in enumerate(itertools.combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << width) - 1) << (width * k) for k in kept)
-        mask -= (1 << 64) * (mask >= 1 << 63)
-        choices.append(F.struct(F.lit(n).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask)).alias("block")))
-    rows = distinct.select("fp", F.explode(F.array(*choices)).alias("g")).select("fp", "g.choice", "g.block")
-    several = rows.groupBy("choice", "block").agg(F.count("*").alias("n")).where("n > 1").select("choice", "block")
-    rows = rows.join(several, ["choice", "block"]).repartition("choice", "block").sortWithinPartitions("choice", "block")
+    part = lambda at, size: ((1 << size) - 1) << at
+    places = [width * k for k in range(blocks)]
+    first = _choices([part(p, width) for p in places], blocks - radius)
+    finer = []
+    for kept in itertools.combinations(places, blocks - radius):
+        halves = [part(p + h, width // 2) for p in places if p not in kept for h in (0, width // 2)]
+        finer.append(_choices(halves, radius, sum(part(p, width) for p in kept)))
+    table = lambda masks: F.array(*[F.lit(m).cast("bigint") for m in masks])
+    rows = _grouped(distinct.select("fp", F.posexplode(table(first)).alias("choice", "mask")).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("block")))
+    again = rows.where(F.col("n") > hot).select("fp", "choice", F.posexplode(F.get(F.array(*map(table, finer)), F.col("choice"))).alias("turn", "mask"))
+    again = _grouped(again.select("fp", (len(first) + F.col("choice") * len(finer[0]) + F.col("turn")).alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("block")))
+    rows = rows.where(F.col("n") <= hot).unionAll(again).select("fp", "choice", "block")
+    rows = rows.repartition("choice", "block").sortWithinPartitions("choice", "block")
     return rows.mapInArrow(_local(radius), "fp bigint, hub bigint").where("fp <> hub").distinct()
 
 
@@ -204,13 +227,13 @@ def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFram
     return rest.select("fp", F.coalesce("low", "lead").alias("lead"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, fp (signed) and component_id, the smallest doc_id within reach."""
     with Scratch(docs.sparkSession) as scratch:
         prints = scratch.table(fingerprints(docs, id_col, text_col), "prints")
         # the label is a pair so that a null id, which sorts first, loses against every other
         nodes = scratch.table(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("lead")), "nodes")
-        edges = scratch.table(links(nodes.select("fp"), radius), "links")
+        edges = scratch.table(links(nodes.select("fp"), radius, hot=hot), "links")
         found = components(nodes, edges, scratch)
         return scratch.result(prints.join(found, "fp").select("doc_id", "fp", F.col("lead.doc_id").alias("component_id")))
 

@@ -295,7 +295,8 @@ def test_simhash(docs, empty):
     for i, r in zip(ids, root):
         lead[r].append(i)
     want = [(i, f"{p:016x}", min((x for x in lead[r] if x is not None), default=None)) for i, p, r in zip(ids, prints, root)]
-    assert bag(simhash_dedup.digest(simhash_dedup.near_duplicates(docs)).collect()) == bag(want)
+    for hot in (simhash_dedup.HOT, 1):
+        assert bag(simhash_dedup.digest(simhash_dedup.near_duplicates(docs, hot=hot)).collect()) == bag(want)
     assert simhash_dedup.near_duplicates(empty).count() == 0
 
 
@@ -311,6 +312,32 @@ def test_gray_index_finds_all_pairs():
     assert found == want
 
 
+@pytest.mark.parametrize("hot", [simhash_dedup.HOT, 3])
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_split_groups_lose_no_link(spark, hot, radius):
+    import random
+
+    from tessera.llm.common import Scratch
+
+    draw = random.Random(radius)
+    fp = {0, -1, -(1 << 63)}
+    for centre in [draw.getrandbits(64) for _ in range(4)]:
+        fp |= {int.from_bytes((centre ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(5)))).to_bytes(8, "big"), "big", signed=True) for _ in range(60)}
+    fp = sorted(fp)
+    root = {x: x for x in fp}
+    near = [(a, b) for a in fp for b in fp if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius]
+    before = None
+    while before != root:
+        before = dict(root)
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    rows = spark.createDataFrame([(x,) for x in fp], "fp bigint")
+    with Scratch(spark) as s:
+        edges = s.table(simhash_dedup.links(rows, radius, hot=hot), "links")
+        got = simhash_dedup.components(rows.select("fp", F.struct(F.lit(False).alias("none"), F.col("fp").alias("doc_id")).alias("lead")), edges, s)
+        assert {r.fp: r.lead.doc_id for r in got.collect()} == root
+
+
 def test_long_chain_is_one_component(spark):
     from tessera.llm.common import Scratch
 

@@ -30,13 +30,23 @@ BLOCK = frozenset(
 DROPPED = frozenset("head title script style noscript template nav footer aside form button select option textarea iframe object svg canvas audio video dialog menu".split())
 HOLDERS = frozenset(("article", "main"))
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|sidebar|side-bar|widget|nav|navbar|navigation|menu|breadcrumbs?|masthead|site-header|page-header|header|footer|copyright|comments?|comment-list|disqus|replies|related|recommended|pagination|skip-link)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|sidebar|side-bar|widget|nav|navbar|navigation|menu|breadcrumbs?|masthead|copyright|comments?|comment-list|disqus|replies|related|recommended|pagination|skip-link)(?:$|[\s_-])",
     re.I,
 )
+#: Words of page headers and footers, which count outside articles only.
+FRAME = re.compile(r"(?:^|\s)(?:(?:site|page|global|main|top|bottom)[-_])?(?:header|footer)(?:$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 SIGMA, RADIUS = 1.5, 4
-#: Start tags that end an open element of the same name when left out (HTML's optional end tags).
-SELF_CLOSING = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
+#: HTML's optional end tags: the open elements that a block's start tag ends; any other block ends a paragraph.
+ENDS = {
+    "li": frozenset(("p", "li")),
+    "dt": frozenset(("p", "dt", "dd")),
+    "dd": frozenset(("p", "dt", "dd")),
+    "td": frozenset(("p", "td", "th")),
+    "th": frozenset(("p", "td", "th")),
+    "tr": frozenset(("p", "td", "th", "tr")),
+}
+PARAGRAPH = frozenset(("p",))
 _SPACE = re.compile(r"\s+")
 
 
@@ -62,12 +72,17 @@ class _Reader(HTMLParser):
         self.tags += not self.dropped
         if tag in BLOCK:
             self.cut()
+            ends = ENDS.get(tag, PARAGRAPH)
+            for at in range(len(self.open) - 1, -1, -1):
+                name = self.open[at][0]
+                if name in ends:
+                    self._close(at)
+                elif name in BLOCK:
+                    break
         elif tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
-        if tag in SELF_CLOSING and self.open and self.open[-1][0] == tag:
-            self._close(len(self.open) - 1)
         held = self.holder
         if tag in HOLDERS and not self.dropped:
             self.holders += 1
@@ -75,7 +90,7 @@ class _Reader(HTMLParser):
         drop = self.dropped or tag in DROPPED or tag == "header" and not self.holder
         if not drop and attrs and tag not in ("html", "body", "main"):
             for k, v in attrs:
-                if v and (k in ("class", "id") and FURNITURE.search(v) or k == "role" and v.lower() in ROLES) or k == "hidden" or k == "aria-hidden" and v == "true":
+                if v and (k in ("class", "id") and (FURNITURE.search(v) or not held and FRAME.search(v)) or k == "role" and v.lower() in ROLES) or k == "hidden" or k == "aria-hidden" and v == "true":
                     drop = True
         self.open.append((tag, self.dropped, self.holder))
         self.dropped, self.holder = drop, held

@@ -277,6 +277,20 @@ def test_html(spark):
     assert got.count() == 6 and html_extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p class='ad'>Buy this<div>Text of the article that stays.</div></article>", "Text of the article that stays."),
+        ("<article><ul><li class='promo'><b>Buy<li>First point of the list.<li>Second point.</ul></article>", "First point of the list.\nSecond point."),
+        ("<article><table><tr><td class='ad'>Buy<td>One cell<tr><td>Next row of cells</table></article>", "One cell\nNext row of cells"),
+        ("<div class='site-header'>Site</div><article><div class='entry-header'><h1>Title</h1></div><p>Body of the text.</p></article><div class='footer'>me</div>", "Title\nBody of the text."),
+        ("<article><dl><dt>Term<dd class='sponsored'>Buy<dt>Other term</dl></article>", "Term\nOther term"),
+    ],
+)
+def test_html_optional_tags_and_headers(page, want):
+    assert "\n".join(html_extract.blocks(f"<html><body>{page}</body></html>")) == want
+
+
 def test_simhash(docs, empty):
     def fp(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", low(t))

@@ -106,12 +106,14 @@ def kl_estimators(s, d):
     return V.token_logps(s, d).where("m = 1").agg(_r(F.avg(O.kl("k1", "new_lp", "ref_lp")), "k1", 8), _r(F.avg(O.kl("k3", "new_lp", "ref_lp")), "k3", 8))
 
 
+#: Rewards have few decimals, so that some advantages end in a five, which engines round either way: all go a little up.
+_NUDGE = 3e-12
 _GAE = f"""{_T}, t AS (SELECT seq_id, pos, ref_lp AS v, -0.05::double*(new_lp-ref_lp) + CASE WHEN pos = max(pos) OVER (PARTITION BY seq_id) THEN adv - CASE WHEN seq_id % 2 = 0 THEN 0 ELSE 1 END ELSE 0 END AS r FROM token_logps WHERE m=1),
  e AS (SELECT seq_id, pos, v, r + coalesce(lead(v) OVER (PARTITION BY seq_id ORDER BY pos), 0) - v AS delta FROM t),
  g AS (SELECT a.seq_id, a.pos, any_value(a.v) AS v, sum(b.delta * pow(0.95::double, b.pos - a.pos)) AS adv FROM e a JOIN e b ON a.seq_id = b.seq_id AND b.pos >= a.pos GROUP BY 1, 2)"""
 
 
-@query(f"{_GAE} SELECT seq_id, pos::bigint AS pos, round(adv, 9) AS advantage, round(adv + v, 9) AS returns FROM g")
+@query(f"{_GAE} SELECT seq_id, pos::bigint AS pos, round(adv + {_NUDGE}::double, 7) AS advantage, round(adv + v + {_NUDGE}::double, 7) AS returns FROM g")
 def ppo_gae(s, d):
     """Token rewards from divergence and score, then advantages and returns by a reverse pass over each sequence."""
     t = V.token_logps(s, d).where("m = 1").withColumn("kl", F.col("new_lp") - F.col("ref_lp"))
@@ -119,7 +121,7 @@ def ppo_gae(s, d):
     q = q.withColumn("r", P.shaped_rewards("kl", F.get("adv", F.lit(0)), F.col("seq_id") % 2 == 0, 0.05, 1.0))
     adv, ret = P.gae("r", "ref_lp")
     q = q.select("seq_id", "pos", adv.alias("a"), ret.alias("g"))
-    return q.select("seq_id", F.explode(F.arrays_zip("pos", "a", "g")).alias("x")).select("seq_id", F.col("x.pos").cast("bigint").alias("pos"), _r("x.a", "advantage", 9), _r("x.g", "returns", 9))
+    return q.select("seq_id", F.explode(F.arrays_zip("pos", "a", "g")).alias("x")).select("seq_id", F.col("x.pos").cast("bigint").alias("pos"), _r(F.col("x.a") + _NUDGE, "advantage", 7), _r(F.col("x.g") + _NUDGE, "returns", 7))
 
 
 @query(f"{_T} SELECT round(avg(greatest(-adv*{_RHO}, -adv*greatest(least({_RHO}, 1.2::double), 0.8::double))), 8) AS policy_loss, round(0.5::double*avg(greatest(pow(new_lp-ref_lp, 2), pow(greatest(least(new_lp, old_lp+0.001::double), old_lp-0.001::double)-ref_lp, 2))), 8) AS value_loss, round(0.5::double*avg(pow(new_lp-old_lp, 2)), 8) AS approx_kl, round(var_samp({_RHO}), 8) AS ratio_var FROM token_logps WHERE m=1")

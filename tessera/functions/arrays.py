@@ -47,6 +47,12 @@ def until_first(a, stop, inclusive: bool = True) -> Column:
     return F.when(at == 0, a).otherwise(F.slice(a, 1, at if inclusive else at - 1))
 
 
+def gather(a, places: list[int]) -> Column:
+    """The elements at the given places from 0; null where there is none."""
+    a = col(a)
+    return F.transform(F.array(*[F.lit(i) for i in places]), lambda i: F.get(a, i))
+
+
 def has(a, token) -> Column:
     return F.array_contains(col(a), token)
 

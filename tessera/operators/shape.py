@@ -86,3 +86,13 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement, the same in every run."""
     return shuffled(df, key, seed).limit(n)
+
+
+def digest_order(key: str, seed: int) -> Column:
+    """A text to order by at random: the same for a key in every run and engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
+def digest_share(key: str, seed: int) -> Column:
+    """A number from 0 (included) to 1 drawn for the key, the same in every run and engine."""
+    return F.conv(F.substring(digest_order(key, seed), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))

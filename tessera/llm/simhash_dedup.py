@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import near_copies
 from tessera.llm.common import Scratch
 
 SHINGLE, SEED, RADIUS, BLOCKS, LEVEL_BITS = 3, 42, 2, 4, 4
@@ -242,14 +243,23 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def stage(spark, docs: DataFrame) -> DataFrame:
-    """Keeps the document of smallest id of each component; of rows that repeat that id, the one whose text digest is smallest."""
+def stage(spark, docs: DataFrame, hot: int = near_copies.HOT, rounds: int = near_copies.ROUNDS) -> DataFrame:
+    """Keeps the document of smallest id of each component of near copies; of rows that repeat that id, the one whose text digest is smallest.
+
+    Near copies share 0.8 or more of their five-word shingles, which 64 bits do not tell; ``near_copies`` finds them exactly.
+    """
     cols = docs.columns
-    own = near_duplicates(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"))
-    lead = docs.select(F.xxhash64("doc_id", "text").alias("__key"), F.col("doc_id").alias("__id")).distinct()
-    # the document that stays: the least id of the component, then the least key
-    both = lead.join(own.select(F.col("doc_id").alias("__key"), "component_id").distinct(), "__key")
-    kept = both.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))).alias("best")).select(F.col("best.key").alias("__key"))
-    kept = Scratch(spark).result(kept, "kept")
-    out = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(kept, "__key", "left_semi").dropDuplicates(["__key"])
+    key = F.xxhash64("doc_id", "text")
+    lead = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("bigint").alias("id"), key.alias("key"))
+    with Scratch(spark) as scratch:
+        rows = docs.select(key.alias("key"), lead.alias("lead"), F.col("text").cast("string").alias("text"))
+        own = scratch.table(near_copies.sets(rows), "sets").withColumn("row", F.col("_metadata.row_index")).withColumn("file", F.col("_metadata.file_name"))
+        # written first, so that a small one is sent to the sets instead of shuffling them
+        first = scratch.table(own.groupBy("d1", "d2").agg(F.min(F.struct("lead", "file", "row")).alias("best")).select("best.file", "best.row"), "first")
+        nodes = scratch.table(own.join(first, ["file", "row"], "left_semi").select("key", "lead", "grams", "parity", "wide"), "nodes")
+        scratch.drop("sets")
+        edges = scratch.table(near_copies.links(nodes, scratch, hot, rounds), "links")
+        found = components(nodes.select(F.col("key").alias("fp"), "lead"), edges, scratch)
+        kept = scratch.result(found.where("lead.key = fp").select(F.col("fp").alias("__key")), "kept")
+    out = docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key"])
     return out.select(*cols)

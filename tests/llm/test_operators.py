@@ -361,6 +361,39 @@ def test_long_chain_is_one_component(spark):
         assert simhash_dedup.components(nodes, edges, s).select("lead.doc_id").distinct().collect()[0].doc_id == 0
 
 
+@pytest.mark.parametrize("hot, rounds", [(128, 8), (3, 8), (3, 1)])
+def test_near_copies_of_four_fifths_leave(spark, empty, hot, rounds):
+    import random
+
+    draw, rows = random.Random(4), [(None, "a b c"), (900, "A  b c"), (901, ""), (902, None), (None, "x y z")]
+    for base in range(6):
+        words = [f"w{draw.randrange(400)}" for _ in range(draw.choice((30, 150, 400)))]
+        for k in range(12):
+            at = list(words)
+            for _ in range(draw.randrange(0, 1 + len(words) // 20)):
+                at[draw.randrange(len(at))] = f"v{draw.randrange(400)}"
+            rows.append((base * 100 + k, " ".join(at)))
+    sets = []
+    for _, t in rows:
+        w = low(t).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4) if w else 0)})
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    order = lambda k: (rows[k][0] is None, rows[k][0] or 0)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = simhash_dedup.stage(spark, docs, hot, rounds)
+    got = bag((r.doc_id, r.text) for r in kept.collect())
+    at = [k for k in range(len(rows)) if (rows[k][0], rows[k][1]) in got]
+    assert len(at) == sum(got.values()) and not any(a in at and b in at for a, b in near)  # none of two that stay are copies
+    assert {root[k] for k in at} == set(root)  # no component goes as a whole
+    if hot == 128:
+        assert sorted(at) == sorted(min((k for k in range(len(rows)) if root[k] == r), key=order) for r in set(root))
+    assert any(4 * len(sets[a] | sets[b]) <= 5 * len(sets[a] & sets[b]) < 4.5 * len(sets[a] | sets[b]) for a, b in near)
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")

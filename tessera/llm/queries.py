@@ -28,7 +28,7 @@ def op4_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
-    return token_counts.totals(_read(spark, d, "documents"))
+    return token_counts.totals(_read(spark, d, "documents"), whole=True)
 
 
 def op6_quality_rules(spark: SparkSession, d: str) -> DataFrame:

@@ -122,8 +122,11 @@ def changes(counted: DataFrame, op: str, columns: dict[str, str], old: dict[str,
     return counted.select(F.lit(op).alias("op"), "source", "lang", F.explode(F.array(*each)).alias("x")).select("op", "source", "lang", "x.*")
 
 
-def totals(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """A life of the table: all documents come in, exact copies go, what stays gains an end-of-text token, and the first batch is sent again."""
+def totals(docs: DataFrame, path: str = TOKENIZER, whole: bool = False) -> DataFrame:
+    """A life of the table: all documents come in, exact copies go, what stays gains an end-of-text token, and the first batch is sent again.
+
+    With ``whole`` the copies then come back and the end-of-text tokens go, so that the totals are those of all rows of the table.
+    """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
         counted = scratch.table(count_tokens(docs, path), "counted")
@@ -137,5 +140,8 @@ def totals(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
         copy = F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first"))
         rollup.commit("0002-copies", changes(both.where(copy), "delete", versions))
         rollup.commit("0003-end-of-text", changes(both.where(~copy).withColumn("ended", F.col("bpe") + 1), "revise", {"bpe-1": "ended"}, {"bpe-1": "bpe"}))
+        if whole:
+            ended = both.where(~copy).withColumn("ended", F.col("bpe") + 1)
+            rollup.commit("0004-whole", changes(both.where(copy), "insert", versions).unionAll(changes(ended, "revise", {"bpe-1": "bpe"}, {"bpe-1": "ended"})))
         rollup.commit("0001-load", changes(counted, "insert", versions))
         return scratch.result(rollup.totals())

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontam, html_extract, line_dedup, mixing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, token_counts, toxicity
+from tessera.llm import decontam, html_extract, line_dedup, mixing, quality_classifier, quality_rules, queries, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, h string, name string, size string, marks string"
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
@@ -202,6 +202,17 @@ def test_token_counts(spark, docs, empty, tmp_path):
     assert token_counts.totals(empty).count() == 0
 
 
+def test_token_count_query_counts_every_row(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    enc, want = token_counts.encoder(token_counts.TOKENIZER), defaultdict(lambda: [0, 0])
+    for i, t, la, s, *_ in ROWS:
+        for v, n in (("words-1", len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))), ("bpe-1", len(enc.encode_ordinary(t or "")))):
+            want[(s, la, v)][0] += 1
+            want[(s, la, v)][1] += n
+    got = queries.op5_token_counts(spark, str(tmp_path)).collect()
+    assert bag((r.source, r.lang, r.version, r.n_docs, r.n_tokens) for r in got) == bag((*k, *v) for k, v in want.items())
+
+
 def test_commits_are_idempotent(spark, tmp_path):
     r = token_counts.Rollup(spark, f"file://{tmp_path}/r")
     make = lambda rows: spark.createDataFrame(rows, "op string, source string, lang string, version string, tokens bigint, old_tokens bigint")

@@ -326,3 +326,9 @@ def split_fold_shape(s, d):
     """No order is in two folds: rows of orders whose fold is not one of four."""
     folds = table(s, d, "orders").select("o_orderkey", H.hash_fold("o_orderkey", 4).cast("int").alias("fold"))
     return folds.where(~F.col("fold").isin(0, 1, 2, 3))
+
+
+@query()
+def split_fold(s, d):
+    """The fold of every order; crc32 has no SQL form."""
+    return table(s, d, "orders").select("o_orderkey", H.hash_fold("o_orderkey", 4).cast("int").alias("fold"))

@@ -61,6 +61,12 @@ def marker_extract_none(s, d):
     return table(s, d, "documents").where("doc_id < 0").select("doc_id", S.response_part("text").alias("answer"))
 
 
+@query("SELECT doc_id, regexp_replace(list_extract(string_split('x [RESPONSE]' || chr(10) || text || '  ', '[RESPONSE]' || chr(10)), -1), '^\\s+|\\s+$', '', 'g') AS answer FROM documents")
+def marker_extract_documents(s, d):
+    """What follows the last marker, of every document."""
+    return table(s, d, "documents").select("doc_id", S.response_part(F.concat(F.lit("x [RESPONSE]\n"), "text", F.lit("  "))).alias("answer"))
+
+
 @query("SELECT * FROM (VALUES (1, 'yes'), (2, 'b'), (3, 'plain')) t(id, answer)")
 def marker_extract(s, d):
     rows = [(1, "p [RESPONSE]\n  yes \n"), (2, "[RESPONSE]\na[RESPONSE]\n b"), (3, " plain ")]

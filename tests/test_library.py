@@ -2,6 +2,7 @@
 
 import math
 import os
+import zlib
 
 import duckdb
 import numpy as np
@@ -47,6 +48,16 @@ def test_same_as_sql(spark, name):
             assert v == w or (isinstance(v, float) and w is not None and abs(v - float(w)) <= 1e-5 * max(1, abs(v)))
 
 
+def test_marker_and_folds_over_all_rows(spark):
+    test_same_as_sql(spark, "marker_extract_documents")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    answers = {r.doc_id: r.answer for r in catalog.queries()["marker_extract_documents"](spark, D).collect()}
+    assert answers.keys() == texts.keys() and sum(map(bool, answers.values())) > 100
+    keys = [r.o_orderkey for r in spark.read.parquet(f"{D}/orders.parquet").collect()]
+    folds = [(r.o_orderkey, r.fold) for r in catalog.queries()["split_fold"](spark, D).collect()]
+    assert sorted(folds) == sorted((k, zlib.crc32(str(k).encode()) % 4) for k in keys) and {f for _, f in folds} == {0, 1, 2, 3}
+
+
 def test_flags_and_templates(spark):
     assert one(spark, S.safety_flag(F.lit("I hate this"))) and not one(spark, S.safety_flag(F.lit("I like this")))
     assert one(spark, S.safety_flag(F.lit("whatever")))

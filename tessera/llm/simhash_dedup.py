@@ -36,6 +36,8 @@ SHINGLE, SEED, RADIUS, BLOCKS, LEVEL_BITS = 3, 42, 2, 4, 4
 HOT = 1024
 #: (fingerprint, node) pairs that a walk holds at a time.
 FRONTIER = 1 << 20
+#: Rows of whole groups that a task gathers before it searches them.
+GATHER = 1 << 18
 
 _POP = np.array([bin(i).count("1") for i in range(256)], np.int8)
 _LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -132,7 +134,7 @@ def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def _local(radius: int):
+def _local(radius: int, gather: int = GATHER):
     """Per fingerprint and group with a partner: (fp, the smallest fingerprint of its local component)."""
     kind = pa.schema([("fp", pa.int64()), ("hub", pa.int64())])
 
@@ -143,9 +145,9 @@ def _local(radius: int):
             if b is not None:
                 held.append(b)
                 size += b.num_rows
-                if size < 1 << 18:
+                if size < gather:
                     continue
-            if not held:
+            if not held and last is None:
                 break
             t = pa.Table.from_batches(([last] if last is not None else []) + held).combine_chunks()
             held, size, last = [], 0, None

@@ -337,6 +337,16 @@ def test_gray_index_finds_all_pairs():
     assert found == want
 
 
+@pytest.mark.parametrize("gather", [2, 4, 8, 100])
+def test_last_group_of_a_task_is_searched(gather):
+    import pyarrow as pa
+
+    fp, block = [16, 17, 32, 33, 64, 65, 128, 129], [1, 1, 2, 2, 3, 3, 3, 3]
+    t = pa.table({"fp": pa.array(fp, pa.int64()), "choice": pa.array([0] * 8, pa.int32()), "block": pa.array(block, pa.int64())})
+    found = [r for b in simhash_dedup._local(1, gather)(iter(t.to_batches(max_chunksize=2))) for r in b.to_pylist() if r["fp"] != r["hub"]]
+    assert sorted(({r["fp"], r["hub"]} for r in found), key=min) == [{16, 17}, {32, 33}, {64, 65}, {128, 129}]
+
+
 @pytest.mark.parametrize("hot", [simhash_dedup.HOT, 3])
 @pytest.mark.parametrize("radius", [1, 2, 3])
 def test_split_groups_lose_no_link(spark, hot, radius):

@@ -207,16 +207,18 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot:
 def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (fp, lead): the least label of each node's component.  nodes: (fp, lead), edges: (fp, hub), both ends nodes.
 
-    A round takes the least label over each edge in both directions, then jumps: the label of the node whose
-    own label was taken.  It ends when no label changes; the number of rounds grows with the logarithm of a component's width.
+    A round takes the least label over each edge in both directions and hands it on to the node whose label it beats, then
+    jumps: the label of the node whose own label was taken.  It goes on until no label changes.
     """
     both = scratch.table(edges.select("fp", "hub").unionAll(edges.select(F.col("hub").alias("fp"), F.col("fp").alias("hub"))), "edges")
     touched = both.select("fp").distinct()
     start = nodes.join(touched, "fp", "left_semi").select("fp", F.struct("lead", "fp").alias("best"))
     now = scratch.table(start.select("fp", "best"), "labels-0")
-    for turn in range(1, 200):
+    for turn in itertools.count(1):
         seen = both.join(now.select(F.col("fp").alias("hub"), "best"), "hub").select("fp", "best").unionAll(now.select("fp", "best"))
         least = seen.groupBy("fp").agg(F.min("best").alias("best"))
+        beaten = least.join(now.withColumnRenamed("best", "old"), "fp").where("best < old").select(F.col("old.fp").alias("fp"), "best")
+        least = least.unionAll(beaten).groupBy("fp").agg(F.min("best").alias("best"))
         jump = now.select(F.col("fp").alias("to"), F.col("best").alias("far"))
         after = least.withColumn("to", F.col("best.fp")).join(jump, "to", "left").select("fp", F.least("best", F.coalesce("far", "best")).alias("best"))
         after = scratch.table(after, f"labels-{turn}")

@@ -382,6 +382,17 @@ def test_long_chain_is_one_component(spark):
         assert simhash_dedup.components(nodes, edges, s).select("lead.doc_id").distinct().collect()[0].doc_id == 0
 
 
+def test_descending_chain_is_one_component(spark):
+    from tessera.llm.common import Scratch
+
+    chain = [1, *range(300, 1, -1)]
+    nodes = spark.createDataFrame([(x,) for x in chain], "fp bigint").select("fp", F.struct(F.lit(False).alias("none"), F.col("fp").alias("doc_id")).alias("lead"))
+    edges = spark.createDataFrame(list(zip(chain[1:], chain)), "fp bigint, hub bigint")
+    with Scratch(spark) as s:
+        assert [r.doc_id for r in simhash_dedup.components(nodes, edges, s).select("lead.doc_id").distinct().collect()] == [1]
+        assert sum("/labels-" in path for path in s.made) < 30
+
+
 @pytest.mark.parametrize("hot, rounds", [(128, 8), (3, 8), (3, 1)])
 def test_near_copies_of_four_fifths_leave(spark, empty, hot, rounds):
     import random

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -13,69 +14,107 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the word definitions: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+#: Settings inside a block: bytes and rows of an Arrow batch, and rows of a batch read from Parquet.
+SHORT = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.parquet.columnarReaderBatchSize": "1024"}
+#: Row groups are small, since a writer holds one and a reader's batch never spans two; long rows are looked at one by one.
+WRITTEN = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "8", "parquet.page.size.row.check.max": "256"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local session may do without, with a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def _fs(spark: SparkSession, path: str):
+def hadoop_fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = hadoop_fs(spark, path)
     return fs.exists(p)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
-        fs, p = _fs(spark, path)
+        fs, p = hadoop_fs(spark, path)
         fs.delete(p, True)
 
 
+class _Short:
+    """Settings held while any block of a session is open, and put back when its last one ends, on whatever thread."""
+
+    lock, open = threading.Lock(), {}
+
+    @classmethod
+    def enter(cls, spark: SparkSession) -> None:
+        with cls.lock:
+            depth, before = cls.open.get(spark, (0, None))
+            if not depth:
+                before = {k: spark.conf.get(k, None) for k in SHORT}
+                for k, v in SHORT.items():
+                    spark.conf.set(k, v)
+            cls.open[spark] = depth + 1, before
+
+    @classmethod
+    def leave(cls, spark: SparkSession) -> None:
+        with cls.lock:
+            depth, before = cls.open.pop(spark)
+            if depth > 1:
+                cls.open[spark] = depth - 1, before
+                return
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive a lost executor.
 
-    ``table`` writes one that goes when the block ends, ``result`` one that stays until the
-    process ends, since the DataFrame handed out still reads it.  Inside the block Arrow batches are
-    short, as their rows hold whole texts.
+    ``table`` writes one that goes when the block ends.  ``result`` writes one that the DataFrame handed out still reads:
+    it goes when the block around this one ends, on the same thread, and where there is none when the process does.  Inside the block
+    batches are short, as their rows hold whole texts.
     """
 
+    blocks = threading.local()
+
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", []
+        self.spark, self.root, self.made, self.around = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", [], None
 
     def __enter__(self) -> "Scratch":
-        self.before = self.spark.conf.get(BATCH_KEY)
-        self.spark.conf.set(BATCH_KEY, str(min(int(self.before), BATCH_ROWS) if int(self.before) > 0 else BATCH_ROWS))
+        _Short.enter(self.spark)
+        self.around = getattr(self.blocks, "last", None)
+        self.blocks.last = self
         return self
 
     def __exit__(self, *exc) -> None:
-        self.spark.conf.set(BATCH_KEY, self.before)
+        self.blocks.last = self.around
+        _Short.leave(self.spark)
         for path in self.made:
             remove(self.spark, path)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, **options) -> DataFrame:
         self.made.append(path := f"{self.root}/{name}")
-        return self._written(df, path)
+        return self._written(df, path, options)
 
     def drop(self, name: str) -> None:
         remove(self.spark, f"{self.root}/{name}")
 
     def result(self, df: DataFrame, name: str = "result") -> DataFrame:
         path = f"{self.root}-{name}"
-        atexit.register(remove, self.spark, path)
-        return self._written(df, path)
-
-    def _written(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if self.around is not None:
+            self.around.made.append(path)
+        else:
+            atexit.register(remove, self.spark, path)
+        return self._written(df, path, {})
+
+    def _written(self, df: DataFrame, path: str, options: dict) -> DataFrame:
+        df.write.mode("overwrite").options(**(WRITTEN | options)).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

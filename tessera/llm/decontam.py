@@ -1,14 +1,16 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 ``build_index`` cuts the training documents into segments and stores the positional postings of
-every token of each; a segment is one row of a table in the shared folder.  ``search`` intersects
+every token of each; a segment is one row of a table in the shared folder, of about a megabyte, and the table is
+written in small row groups, so that neither its writer nor a reader ever holds many.  ``search`` intersects
 offset-adjusted postings inside each segment, from the rarest query term to the commonest, so no
 posting is ever shuffled and a hot term is as cheap as its list in one segment.  Phrases
 (``contamination``) and terms in proximity (``proximity``) are exact.
 
-Defined results: a null or empty text has no words and no hits; repeated rows are separate
-documents, each with its own result; a null id stays null; empty tables give empty results (or
-documents without hits); other columns are ignored, so they may clash with anything.
+Defined results: a null or empty text has no words and no hits; a text longer than a segment is a
+segment of its own, read whole; repeated rows are separate documents, each with its own result; a null id
+stays null; empty tables give empty results (or documents without hits); other columns are ignored, so they
+may clash with anything.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, chunks_by_bytes, text_bytes, tokens
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 #: Query items go to the executors in blocks of at most this many bytes of text.
 BLOCK_BYTES = 4 << 20
 WINDOW = 10
@@ -36,7 +38,7 @@ _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
-INDEX_SCHEMA = "segment string, doc_ids array<bigint>, doc_starts array<int>, terms array<string>, counts array<int>, postings binary"
+INDEX_SCHEMA = "segment string, doc_ids array<bigint>, marks array<int>, doc_starts array<int>, terms array<string>, counts array<int>, postings binary"
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -64,28 +66,30 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array([f"{part}-{n}"]),
                     pa.array([b.column("doc_id").slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([b.column("mark").slice(lo, hi - lo).to_pylist()], pa.list_(pa.int32())),
                     pa.array([np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)], pa.list_(pa.int32())),
                     pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())),
                     pa.array([np.bincount(ids, minlength=len(coded.dictionary)).astype(np.int32)], pa.list_(pa.int32())),
                     pa.array([posts.tobytes()], pa.binary()),
                 ],
-                names=["segment", "doc_ids", "doc_starts", "terms", "counts", "postings"],
+                names=["segment", "doc_ids", "marks", "doc_starts", "terms", "counts", "postings"],
             )
             n += 1
 
 
 def build_index(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores the postings of every token: rows of ``INDEX_SCHEMA``."""
+    """Stores the postings of every token: rows of ``INDEX_SCHEMA``.  A document's mark is a digest of its text and id."""
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return scratch.table(narrow.mapInArrow(_segments, INDEX_SCHEMA), "index")
+    marked = narrow.select("doc_id", F.hash("text", "doc_id").alias("mark"), "text")
+    return scratch.table(marked.mapInArrow(_segments, INDEX_SCHEMA), "index", **{"parquet.page.size.row.check.min": "1"})
 
 
 class _Segment:
     """A stored segment with its postings as sorted keys (term, position)."""
 
     def __init__(self, row: dict):
-        self.doc_ids, self.starts = row["doc_ids"], np.asarray(row["doc_starts"], np.int64)
-        self.terms, self.counts = row["terms"], np.asarray(row["counts"], np.int64)
+        self.doc_ids, self.marks, self.starts = row["doc_ids"], row["marks"], row["doc_starts"].to_numpy().astype(np.int64)
+        self.terms, self.counts = row["terms"].cast(pa.string()), row["counts"].to_numpy().astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         self.positions = np.cumsum(np.frombuffer(row["postings"], np.uint32), dtype=np.uint32).astype(np.int64)
         self.keys = np.repeat(np.arange(len(self.counts), dtype=np.int64) << 32, self.counts) | self.positions
@@ -189,12 +193,12 @@ def near(seg: _Segment, q: Queries, slop: int) -> tuple[np.ndarray, np.ndarray]:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Segment]]:
     for b in batches:
         for i in range(b.num_rows):
-            row = {c: b.column(c)[i].as_py() for c in ("segment", "doc_ids", "doc_starts", "counts", "postings")}
-            yield row["segment"], _Segment(row | {"terms": b.column("terms")[i].values.cast(pa.string())})
+            lists = {c: b.column(c)[i].values for c in ("doc_ids", "marks", "doc_starts", "terms", "counts")}
+            yield b.column("segment")[i].as_py(), _Segment(lists | {"postings": b.column("postings")[i].as_buffer()})
 
 
 def _contaminated(q: Queries):
-    kind = pa.schema([("segment", pa.string()), ("ordinal", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+    kind = pa.schema([("segment", pa.string()), ("ordinal", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int32()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, seg in _rows(batches):
@@ -210,7 +214,7 @@ def _contaminated(q: Queries):
             n = len(seg.doc_ids)
             hits = [(hit[at[d] : at[d + 1]] - seg.starts[d]).astype(np.int32) for d in range(n)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(seg.doc_ids, pa.int64()), pa.array(np.diff(seg.starts)), pa.array(hits, kind.field("hits").type), pa.array([sorted(items.get(d, ()), key=lambda x: (x is None, x)) for d in range(n)], kind.field("items").type)],
+                [pa.array([name] * n), pa.array(np.arange(n, dtype=np.int32)), seg.doc_ids, seg.marks, pa.array(np.diff(seg.starts)), pa.array(hits, kind.field("hits").type), pa.array([sorted(items.get(d, ()), key=lambda x: (x is None, x)) for d in range(n)], kind.field("items").type)],
                 schema=kind,
             )
 
@@ -239,11 +243,11 @@ def item_blocks(items: DataFrame, cut, id_col: str = "item_id", text_col: str =
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, hits (sorted positions of words inside occurrences) and items (sorted ids).
+    """One row per document: doc_id, mark, n_words, hits (sorted positions of words inside occurrences) and items (sorted ids).
 
     An item gives every run of ``window`` words, or itself when it is shorter.
     """
-    out = "segment string, ordinal int, doc_id bigint, n_words bigint, hits array<int>, items array<bigint>"
+    out = "segment string, ordinal int, doc_id bigint, mark int, n_words bigint, hits array<int>, items array<bigint>"
     with Scratch(docs.sparkSession) as scratch:
         index = build_index(docs, scratch, id_col, text_col)
         parts = [index.mapInArrow(_contaminated(q), out) for q in item_blocks(items, lambda t: windows(t, window))]
@@ -252,10 +256,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
             for p in parts[1:]:
                 found = found.unionAll(p)
             flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-            found = found.groupBy("segment", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), flat("hits"), flat("items"))
+            found = found.groupBy("segment", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.first("n_words").alias("n_words"), flat("hits"), flat("items"))
         else:
             found = parts[0]
-        return scratch.result(found.select("doc_id", "n_words", "hits", "items"))
+        return scratch.result(found.select("doc_id", "mark", "n_words", "hits", "items"))
 
 
 def proximity(docs: DataFrame, queries: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,7 +278,8 @@ def proximity(docs: DataFrame, queries: DataFrame, slop: int, id_col: str = "doc
             for _, seg in _rows(batches):
                 number, start = near(seg, q, slop)
                 doc = seg.doc_of(start)
-                rows = [(seg.doc_ids[d], i, s) for d, n, s in zip(doc.tolist(), number.tolist(), (start - seg.starts[doc]).tolist()) for i in q.owners[n]]
+                ids = seg.doc_ids.to_pylist()
+                rows = [(ids[d], i, s) for d, n, s in zip(doc.tolist(), number.tolist(), (start - seg.starts[doc]).tolist()) for i in q.owners[n]]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else ((), (), ()), kind)], schema=kind)
 
         return search
@@ -297,9 +302,13 @@ def digest(found: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, items: DataFrame) -> DataFrame:
     """Removes the words inside benchmark passages' documents: documents with any hit go.  A null id goes with its own rows only when hit.
 
-    Documents are matched back by id and text digest, so that repeated ids are judged each by their own text; the join is the same at every size.
+    Documents are matched back by two digests of id and text, so that repeated ids are judged each by their own text; the join is the
+    same at every size.
     """
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of the input clashes
     key = F.xxhash64("doc_id", "text")
-    keyed = docs.select(key.alias("doc_id"), "text")
-    bad = contamination(keyed, items).where(F.size("hits") > 0).select(F.col("doc_id").alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(bad.hint("merge"), "__key", "left_anti").select(*docs.columns)
+    bad = contamination(docs.select(key.alias("doc_id"), "text"), items).where(F.size("hits") > 0).select(F.col("doc_id").alias("key"), "mark").distinct()
+    keyed = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], key.alias("key"))
+    text = F.col(names[docs.columns.index("text")]).cast("string")
+    kept = keyed.withColumn("mark", F.hash(text, F.col("key"))).join(bad.hint("merge"), ["key", "mark"], "left_anti")
+    return kept.select(*names).toDF(*docs.columns)

@@ -188,7 +188,7 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch, hot):
 def test_token_counts(spark, docs, empty, tmp_path):
     import tiktoken  # noqa: F401
 
-    enc = token_counts.encoder(token_counts.TOKENIZER)
+    enc = token_counts.encoder(token_counts.load(spark, token_counts.TOKENIZER))
     want = Counter()
     seen = set()
     for i, t, la, s, *_ in sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0)):
@@ -204,7 +204,7 @@ def test_token_counts(spark, docs, empty, tmp_path):
 
 def test_token_count_query_counts_every_row(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    enc, want = token_counts.encoder(token_counts.TOKENIZER), defaultdict(lambda: [0, 0])
+    enc, want = token_counts.encoder(token_counts.load(spark, token_counts.TOKENIZER)), defaultdict(lambda: [0, 0])
     for i, t, la, s, *_ in ROWS:
         for v, n in (("words-1", len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))), ("bpe-1", len(enc.encode_ordinary(t or "")))):
             want[(s, la, v)][0] += 1

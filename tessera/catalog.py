@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("tabular", "series", "text", "preferences", "objectives", "policy", "evaluation", "models", "flows", "draws")
+_MODULES = ("tabular", "series", "text", "preferences", "objectives", "policy", "evaluation", "models", "flows", "draws", "files")
 
 
 def query(sql: str | None = None, name: str | None = None):

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.objectives import log_sigmoid
-from tessera.operators.shape import global_rank
+from tessera.operators.shape import ranked_values, running_sums, spread
 
 
-def rank_paired(df: DataFrame, left: Column, right: Column, beta: float = 0.1, smoothing: float = 0.0, step: float = 0.01, within: list[str] | None = None) -> DataFrame:
+def rank_paired(df: DataFrame, left: Column, right: Column, beta: float = 0.1, smoothing: float = 0.0, within: list[str] | None = None) -> DataFrame:
     """Both sides sorted by themselves and paired by rank, with the sigmoid loss of each pair's difference.
 
-    Ranks come from pieces of width ``step``, so no task sorts all rows; ``within`` pairs inside batches instead.
+    Values are counted and the counts ranked in even pieces, so no task sorts all rows and a frequent value is spread over many; ``within`` pairs inside
+    batches instead.  Nulls have no rank.
     """
     if within:
         w = Window.partitionBy(*within)
@@ -20,19 +21,18 @@ def rank_paired(df: DataFrame, left: Column, right: Column, beta: float = 0.1, s
         b = df.select(*within, right.alias("b")).withColumn("rank", F.row_number().over(w.orderBy("b")))
         pairs = a.join(b, [*within, "rank"])
     else:
-        a = global_rank(df.select(left.alias("a")), F.floor(F.col("a") / step), ["a"], "rank")
-        b = global_rank(df.select(right.alias("b")), F.floor(F.col("b") / step), ["b"], "rank")
+        a = spread(ranked_values(df.select(left.alias("a")), "a"), "a")
+        b = spread(ranked_values(df.select(right.alias("b")), "b"), "b")
         pairs = a.join(b, "rank")
     z = beta * (F.col("a") - F.col("b"))
     return pairs.withColumn("loss", -log_sigmoid(z) * (1 - smoothing) - log_sigmoid(-z) * smoothing)
 
 
-def running_delta(df: DataFrame, batch: str, reward: Column, out: str = "delta") -> DataFrame:
-    """The mean reward of all batches up to each one, joined to its rows; batches are summed before they are ordered."""
-    sums = df.groupBy(batch).agg(F.sum(reward).alias("__s"), F.count(reward).alias("__n"))
-    w = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.select(batch, (F.sum("__s").over(w) / F.sum("__n").over(w)).alias(out))
-    return df.join(sums, batch)
+def running_delta(df: DataFrame, batch: str, reward: Column, out: str = "delta", coarse: Column | None = None) -> DataFrame:
+    """The mean reward of all batches up to each one, joined to its rows; batches are summed before they are ordered, and pieces of them (``coarse``, which grows with them; a number's thousands where it isn't given) before those."""
+    sums = df.groupBy(batch).agg(F.sum(reward).alias("s"), F.count(reward).alias("n"))
+    sums = running_sums(sums, coarse if coarse is not None else F.floor(F.col(batch) / 1024), batch, ["s", "n"])
+    return df.join(sums.select(batch, F.try_divide("run_s", "run_n").alias(out)), batch)
 
 
 def batch_mean(df: DataFrame, batch: str, value: Column, out: str, floor: float | None = None) -> DataFrame:

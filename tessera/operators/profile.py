@@ -1,10 +1,12 @@
-"""Profiling and descriptive statistics as relations.  Every function is one aggregate pass over the columns it reads."""
+"""Profiling and descriptive statistics as relations: aggregates in one pass, and exact quantiles from counts of values."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.shape import quantiles
+
 
 def long_form(df: DataFrame, stats: dict[str, dict[str, Column]], key: str = "col") -> DataFrame:
     """One row per column from {column: {statistic: aggregate}}, all taken in a single pass."""
@@ -13,20 +15,23 @@ def long_form(df: DataFrame, stats: dict[str, dict[str, Column]], key: str = "co
     return flat.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def quartiles(c: str) -> Column:
-    """The three exact quartiles as an array, from one buffer."""
-    return F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def _with_quantiles(df: DataFrame, cols: list[str], qs: dict[str, float], rest: DataFrame) -> DataFrame:
+    """``rest``, a row per column named in ``col``, with the exact quantiles of each; the values of all columns are counted in one pass."""
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.*")
+    q = quantiles(values, "v", list(qs.values()), "col")
+    return rest.join(q, "col", "left").select(*rest.columns, *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(qs)])
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, sample deviation, least, exact quartiles (interpolated) and greatest per column."""
-    q = lambda c, i: F.round(quartiles(c)[i], 6)
-    return long_form(df, {c: {"n": F.count(c), "mean": F.round(F.avg(c), 6), "std": F.round(F.stddev_samp(c), 6), "low": F.min(c), "q25": q(c, 0), "q50": q(c, 1), "q75": q(c, 2), "high": F.max(c)} for c in cols})
+    rest = long_form(df, {c: {"n": F.count(c), "mean": F.round(F.avg(c), 6), "std": F.round(F.stddev_samp(c), 6), "low": F.min(c), "high": F.max(c)} for c in cols})
+    return _with_quantiles(df, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, rest).select("col", "n", "mean", "std", "low", "q25", "q50", "q75", "high")
 
 
 def moments(df: DataFrame, cols: list[str]) -> DataFrame:
     """Mean, median and sample deviation per column."""
-    return long_form(df, {c: {"mean": F.round(F.avg(c), 6), "median": F.round(F.median(c), 6), "std": F.round(F.stddev_samp(c), 6)} for c in cols})
+    rest = long_form(df, {c: {"mean": F.round(F.avg(c), 6), "std": F.round(F.stddev_samp(c), 6)} for c in cols})
+    return _with_quantiles(df, cols, {"median": 0.5}, rest).select("col", "mean", "median", "std")
 
 
 def skewness_g1(c: str) -> Column:
@@ -79,7 +84,8 @@ def histogram(df: DataFrame, c: str, bins: int) -> DataFrame:
 
 def box(df: DataFrame, c: str, *hues: str) -> DataFrame:
     """Five-number summary per group with whisker ends at 1.5 times the quartile range."""
-    g = df.groupBy(*hues).agg(*[quartiles(c)[i].alias(f"q{i + 1}") for i in range(3)], F.min(c).alias("low"), F.max(c).alias("high"))
+    g = df.groupBy(*hues).agg(F.min(c).alias("low"), F.max(c).alias("high")).join(quantiles(df, c, [0.25, 0.5, 0.75], *hues), list(hues))
+    g = g.select(*hues, "low", "high", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     r = lambda x: F.round(x, 6)
     return g.select(*hues, "low", r(F.col("q1")).alias("q1"), r(F.col("q2")).alias("q2"), r(F.col("q3")).alias("q3"), "high", r(F.col("q1") - reach).alias("fence_low"), r(F.col("q3") + reach).alias("fence_high"))
@@ -100,9 +106,17 @@ def density(df: DataFrame, c: str, grid: list[float], bandwidth: float) -> DataF
 
 
 def simple_regression(df: DataFrame, y: Column, x: Column) -> DataFrame:
-    """Slope, intercept and R squared of least squares, and the rows used."""
+    """Slope, intercept, their standard errors and t values, R squared, the residual deviation and its degrees of freedom, and the rows used."""
     d = df.select(y.alias("y"), x.alias("x"))
-    return d.agg(F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"), F.round(F.regr_r2("y", "x"), 6).alias("r2"), F.regr_count("y", "x").alias("n"))
+    fit = d.agg(*[f("y", "x").alias(n) for n, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept), ("r2", F.regr_r2), ("n", F.regr_count), ("sxx", F.regr_sxx), ("syy", F.regr_syy), ("mx", F.regr_avgx))])
+    fit = fit.withColumn("sigma", F.sqrt(F.try_divide(F.col("syy") * (1 - F.col("r2")), F.col("n") - 2)))
+    fit = fit.withColumn("slope_se", F.try_divide("sigma", F.sqrt("sxx"))).withColumn("intercept_se", F.col("sigma") * F.sqrt(F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.col("mx") * F.col("mx"), F.col("sxx"))))
+    r = lambda c, n: F.round(c, 6).alias(n)
+    c = F.col
+    return fit.select(
+        r(c("slope"), "slope"), r(c("intercept"), "intercept"), r(c("r2"), "r2"), "n", r(c("slope_se"), "slope_se"), r(c("intercept_se"), "intercept_se"),
+        F.round(F.try_divide("slope", "slope_se"), 3).alias("slope_t"), F.round(F.try_divide("intercept", "intercept_se"), 3).alias("intercept_t"), r(c("sigma"), "sigma"), (c("n") - 2).alias("df"),
+    )
 
 
 def introspect(df: DataFrame) -> DataFrame:

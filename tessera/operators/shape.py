@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Pieces that a column is dealt into.
+PIECES = 128
 
 
 def impute_group_median(df: DataFrame, value: str, keys: list[str], bad: Column, donor: Column, out: str) -> DataFrame:
@@ -17,14 +23,23 @@ def impute_group_median(df: DataFrame, value: str, keys: list[str], bad: Column,
 
 def fill_median(df: DataFrame, c: str) -> DataFrame:
     """Nulls take the column's exact median (one row, joined to all)."""
-    return df.crossJoin(F.broadcast(df.agg(F.median(c).alias("__med")))).withColumn(c, F.coalesce(c, "__med")).drop("__med")
+    med = quantiles(df, c, [0.5]).select(F.col("q")[0].alias("__med"))
+    return df.crossJoin(F.broadcast(med)).withColumn(c, F.coalesce(c, "__med")).drop("__med")
+
 
+def fill_mean(df: DataFrame, c: str) -> DataFrame:
+    """Nulls take the column's mean (one row, joined to all)."""
+    return df.crossJoin(F.broadcast(df.agg(F.avg(c).alias("__mean")))).withColumn(c, F.coalesce(c, "__mean")).drop("__mean")
 
-def label_encode(df: DataFrame, c: str, out: str) -> DataFrame:
-    """Numbers from 0 by sorted value.  Distinct values are ranked, not rows."""
+
+def label_encode(df: DataFrame, c: str, out: str, prefix: int = 3) -> DataFrame:
+    """Numbers from 0 by sorted value.  Distinct values are ranked, not rows; those of one beginning of ``prefix`` characters (texts) or of one piece (numbers) in a task."""
     kinds = df.select(c).where(F.col(c).isNotNull()).distinct()
-    ranks = kinds.withColumn(out, (F.row_number().over(Window.orderBy(c)) - 1).cast("int"))
-    return df.join(ranks, c, "left")
+    if isinstance(df.schema[c].dataType, StringType):
+        ranks = global_rank(kinds, F.substring(c, 1, prefix), [c], "__rank")
+    else:
+        ranks = global_rank(*with_pieces(kinds, c), [c], "__rank").drop("__cuts")
+    return df.join(ranks.select(c, (F.col("__rank") - 1).cast("int").alias(out)), c, "left")
 
 
 def one_hot(c: str, values: list[str], prefix: str = "cat_") -> list[Column]:
@@ -50,6 +65,71 @@ def standardise(df: DataFrame, c: str, out: str) -> DataFrame:
     return df.crossJoin(F.broadcast(m)).withColumn(out, F.try_divide(F.col(c) - F.col("__m"), F.col("__s"))).drop("__m", "__s")
 
 
+def with_pieces(df: DataFrame, c: str) -> tuple[DataFrame, Column]:
+    """The rows with ``__cuts``, sampled bounds that deal the values of a number or time into ``PIECES`` even pieces, and the piece of each row."""
+    cuts = df.agg(F.percentile_approx(c, [k / PIECES for k in range(1, PIECES)], 10_000).alias("__cuts"))  # one row
+    return df.crossJoin(F.broadcast(cuts)), F.size(F.filter("__cuts", lambda x: x < F.col(c)))
+
+
+def running_sums(df: DataFrame, coarse: Column, order: str, sums: list[str]) -> DataFrame:
+    """Adds ``run_<c>``: the sum of each column up to and with each row, in order.  ``coarse`` grows with the order: pieces are summed before their rows, so no task sees more than a piece."""
+    rows = df.withColumn("__piece", coarse)
+    up = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = rows.groupBy("__piece").agg(*[F.sum(c).alias(f"__of_{c}") for c in sums])
+    pieces = pieces.select("__piece", *[F.coalesce(F.sum(f"__of_{c}").over(up), F.lit(0)).alias(f"__to_{c}") for c in sums])
+    own = Window.partitionBy("__piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *[F.sum(c).over(own).alias(f"__own_{c}") for c in sums]).join(pieces, "__piece")
+    return rows.select(*df.columns, *[(F.coalesce(F.col(f"__own_{c}"), F.lit(0)) + F.col(f"__to_{c}")).alias(f"run_{c}") for c in sums])
+
+
+def at_ranks(df: DataFrame, c: str, ranks, *keys: str, **also: Column) -> DataFrame:
+    """Order statistics per group without a task that holds a column: rows (keys, n, found), found an array of the structs (at, value, before).
+
+    ranks(n): array of ranks from 0, as longs, for a group of ``n`` values, which may read the aggregates ``also``; before: values that are less.  Values are counted, the counts dealt into even
+    pieces by sampled bounds, and only the pieces that hold a wanted rank are sorted.  Nulls don't count.
+    """
+    rows = df.where(F.col(c).isNotNull()).withColumn("__v", F.col(c))
+    counts = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("__v", [k / PIECES for k in range(1, PIECES)], 10_000).alias("__cuts"), *[a.alias(name) for name, a in also.items()])
+    both = counts.join(groups, list(keys)) if keys else counts.crossJoin(F.broadcast(groups))
+    both = both.select(*keys, "__v", "__n", F.size(F.filter("__cuts", lambda x: x < F.col("__v"))).alias("__piece"))
+    up = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = both.groupBy(*keys, "__piece").agg(F.sum("__n").alias("__s")).withColumn("__to", F.coalesce(F.sum("__s").over(up), F.lit(0)))
+    asked = groups.select(*keys, "n", F.posexplode(ranks(F.col("n"))).alias("__at", "__rank"))
+    wanted = pieces.join(asked, list(keys)) if keys else pieces.crossJoin(F.broadcast(asked))
+    wanted = wanted.where("__to <= __rank AND __rank < __to + __s").select(*keys, "n", "__piece", "__to", "__at", "__rank")
+    own = Window.partitionBy(*keys, "__piece").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = both.join(wanted.select(*keys, "__piece").distinct(), [*keys, "__piece"], "left_semi").withColumn("__own", F.coalesce(F.sum("__n").over(own), F.lit(0)))
+    hit = placed.join(wanted, [*keys, "__piece"]).withColumn("__to", F.col("__to") + F.col("__own")).where("__to <= __rank AND __rank < __to + __n")
+    one = F.struct(F.col("__at").alias("at"), F.col("__v").alias("value"), F.col("__to").alias("before"))
+    return hit.groupBy(*keys).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(one)).alias("found"))  # a row per wanted rank
+
+
+def quantiles(df: DataFrame, c: str, qs: list[float], *keys: str) -> DataFrame:
+    """Rows (keys, q): the exact quantiles of each group, interpolated, as an array; a null one where no value is there (ungrouped only)."""
+    place = lambda n, q: F.lit(float(q)) * (n - 1)
+    ranks = lambda n: F.array(*[f(place(n, q)).cast("bigint") for q in qs for f in (F.floor, F.ceil)])
+    got = at_ranks(df, c, ranks, *keys)
+    v = lambda i: F.get("found", F.lit(i))["value"].cast("double")
+    between = [v(2 * i) + (v(2 * i + 1) - v(2 * i)) * (place(F.col("n"), q) - F.floor(place(F.col("n"), q))) for i, q in enumerate(qs)]
+    return got.select(*keys, F.when(F.col("n").isNotNull(), F.array(*between)).alias("q"))
+
+
+def ranked_values(df: DataFrame, c: str) -> DataFrame:
+    """Rows (c, n, rank): distinct values of a number, how many rows show each, and the rank of the first of them, from 1."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
+    rows, piece = with_pieces(counts, c)
+    out = running_sums(rows.select(c, "n", piece.alias("__cut")), F.col("__cut"), c, ["n"])
+    return out.select(c, "n", (F.col("run_n") - F.col("n") + 1).alias("rank"))
+
+
+def spread(ranked: DataFrame, c: str, chunk: int = 1 << 16) -> DataFrame:
+    """A row (c, rank) for each row that ``ranked_values`` counted; a frequent value goes to many tasks, ``chunk`` rows at a time."""
+    parts = ranked.select(c, "n", "rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {chunk}"))).alias("__part"))
+    parts = parts.select(c, (F.col("rank") + F.col("__part") * chunk).alias("__lo"), F.least(F.col("n") - F.col("__part") * chunk, F.lit(chunk)).alias("__len"))
+    return parts.repartition("__lo").select(c, F.explode(F.sequence(F.col("__lo"), F.col("__lo") + F.col("__len") - 1)).alias("rank"))
+
+
 def global_rank(df: DataFrame, coarse: Column, order: list, out: str) -> DataFrame:
     """Row numbers from 1 over all rows without one task for all: ``coarse`` grows with the order and cuts it into pieces.
 
@@ -75,7 +155,7 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def hash_fold(key: str, folds: int) -> Column:
     """A fold number from the key alone, the same in every run and engine."""
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
+    return (F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint") % folds).cast("int")
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -96,3 +176,35 @@ def digest_order(key: str, seed: int) -> Column:
 def digest_share(key: str, seed: int) -> Column:
     """A number from 0 (included) to 1 drawn for the key, the same in every run and engine."""
     return F.conv(F.substring(digest_order(key, seed), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+
+
+def poisson_cuts(rate: float, most: int = 10) -> list[float]:
+    """Cumulated chances of 0, 1 and more draws: a number from 0 to 1 at or over the first k of them stands for k draws."""
+    p, total, out = math.exp(-rate), 0.0, []
+    for k in range(most):
+        total += p
+        out.append(total)
+        p *= rate / (k + 1)
+    return out
+
+
+def with_replacement(df: DataFrame, key: str, rate: float, seed: int) -> DataFrame:
+    """Each row as often as a Poisson draw for its key says: ``rate`` times on average."""
+    u = digest_share(key, seed)
+    n = sum((F.when(u >= c, 1).otherwise(0) for c in poisson_cuts(rate)), F.lit(0))
+    return df.withColumn("__n", n).where("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+
+
+def by_column(df: DataFrame, name: str, there, missing) -> Column:
+    """The column that ``there()`` makes where the relation has a column of that name, else that of ``missing()``."""
+    return there() if name in df.columns else missing()
+
+
+def same_length(df: DataFrame, *arrays: str) -> DataFrame:
+    """The rows; running it fails on the first row whose arrays differ in length."""
+    first, *rest = arrays
+    wrong = F.lit(False)
+    for a in rest:
+        wrong = wrong | (F.size(a) != F.size(first))
+    message = F.concat(F.lit(f"{', '.join(arrays)} differ in length: "), F.concat_ws(", ", *[F.size(a).cast("string") for a in arrays]))
+    return df.withColumn(first, F.when(wrong, F.raise_error(message)).otherwise(F.col(first)))

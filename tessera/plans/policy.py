@@ -9,6 +9,7 @@ from tessera.catalog import query
 from tessera.functions import arrays as A
 from tessera.functions import objectives as O
 from tessera.operators import policy as P
+from tessera.operators import shape as H
 from tessera.plans import views as V
 from tessera.sources.tables import table
 
@@ -76,7 +77,7 @@ def grpo_clip_loss_dr_grpo(s, d):
 def high_entropy_mask(s, d):
     """Tokens at or over the 80 % quantile of entropy (the surprise stands in for it)."""
     t = V.token_logps(s, d).where("m = 1").withColumn("h", -F.col("new_lp"))
-    q = t.agg(F.percentile("h", 0.8).alias("q"))
+    q = H.quantiles(t, "h", [0.8]).select(F.col("q")[0].alias("q"))
     return t.crossJoin(F.broadcast(q)).groupBy("seq_id").agg(F.count_if(F.col("h") >= F.col("q")).alias("n_high"), F.count("*").alias("n"))
 
 

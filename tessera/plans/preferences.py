@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
 from tessera.functions.strings import tokens
 from tessera.operators import shape as H
-from tessera.operators.udfs import pack, rouge_l
+from tessera.operators.udfs import metric, pack, rouge_l
 from tessera.plans import views as V
 from tessera.sources.tables import table
 
@@ -81,20 +82,50 @@ def rouge_l_pairs(s, d):
 def pack_sequences(s, d):
     """Documents packed into bins of 2048 tokens."""
     n = table(s, d, "documents").select("doc_id", F.size(tokens("text")).alias("n"))
-    return pack(n, "doc_id", "n", 2048, 64)
+    return pack(n, "doc_id", "n", 2048)
 
 
-@query()
+@query("SELECT conv_id * 1000 + turn AS key FROM conversations ORDER BY md5('3:' || (conv_id * 1000 + turn)::varchar), 1 LIMIT 20")
 def sample_without_replacement(s, d):
-    return H.sample_rows(table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key")), "key", 20, 3)
+    """Twenty rows, the same in every run and engine."""
+    c = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"))
+    return c.orderBy(H.digest_order("key", 3), "key").limit(20)
 
 
-@query()
+_U5 = "('0x' || substr(md5('5:' || (conv_id * 1000 + turn)::varchar), 1, 8))::bigint / 4294967296::double"
+
+
+@query(f"WITH u AS (SELECT conv_id, turn, {_U5} AS u FROM conversations), n AS (SELECT conv_id, turn, " + " + ".join(f"(u >= {c!r}::double)::int" for c in H.poisson_cuts(0.5)) + " AS n FROM u) SELECT conv_id, turn FROM n, range(1, 12) r(k) WHERE k <= n")
 def sample_with_replacement(s, d):
-    return table(s, d, "conversations").sample(withReplacement=True, fraction=0.5, seed=5).select("conv_id", "turn")
+    """Half as many rows, each drawn a Poisson number of times that its key alone decides: the same on any number of machines."""
+    c = table(s, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("key"))
+    return H.with_replacement(c, "key", 0.5, 5).select("conv_id", "turn")
 
 
-@query()
+@query("SELECT event_id, CASE WHEN ('0x' || substr(md5('10:' || event_id::varchar), 1, 8))::bigint / 4294967296::double < 0.75::double THEN 'train' ELSE 'test' END AS part FROM events")
 def random_split(s, d):
-    train, test = table(s, d, "events").randomSplit([0.75, 0.25], seed=10)
-    return train.select("event_id", F.lit("train").alias("part")).unionByName(test.select("event_id", F.lit("test").alias("part")))
+    """Three quarters to train; the key alone decides, whatever the layout of the rows."""
+    return table(s, d, "events").select("event_id", F.when(H.digest_share("event_id", 10) < 0.75, "train").otherwise("test").alias("part"))
+
+
+@query("SELECT conv_id, CASE WHEN bool_or(role = 'system') THEN 'system' ELSE 'plain' END AS kind FROM conversations GROUP BY 1")
+def column_switch(s, d):
+    """Which template rows take depends on whether a column is there: with ``messages`` they are conversations, else plain text."""
+    c = table(s, d, "conversations")
+    m = c.groupBy("conv_id").agg(F.collect_set("role").alias("messages"))
+    kind = H.by_column(m, "messages", lambda: F.when(F.array_contains("messages", "system"), "system").otherwise("plain"), lambda: F.lit("text"))
+    return m.select("conv_id", kind.alias("kind"))
+
+
+@query("WITH " + V.PREF_TEXT + " SELECT conv_id % 3 AS grp, count(*) AS n, round(avg(length(chosen) - length(rejected)), 6) AS margin, max(length(chosen))::bigint AS longest FROM pref_text GROUP BY 1")
+def metric_callback(s, d):
+    """A user's metric function of whole groups, as a grouped aggregate over Arrow batches: partial sums per batch, then one merge."""
+
+    def partial(texts):
+        a, b = (np.array([len(t) for t in texts[c].to_pylist()], np.int64) for c in ("chosen", "rejected"))
+        return {"n": len(a), "margin": int((a - b).sum()), "longest": int(a.max(initial=0))}
+
+    p = V.pref_text(s, d).select((F.col("conv_id") % 3).alias("grp"), "chosen", "rejected")
+    sums = metric(p, "grp", partial, "n bigint, margin bigint, longest bigint")
+    out = sums.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("margin").alias("m"), F.max("longest").alias("longest"))
+    return out.select("grp", "n", F.round(F.col("m") / F.col("n"), 6).alias("margin"), "longest")

@@ -36,6 +36,15 @@ def pct_change(s, d):
     return table(s, d, "events").select("event_id", F.round(F.try_divide(F.col("value"), F.lag("value").over(w)) - 1, 6).alias("change"))
 
 
+@query("WITH f AS (SELECT *, last_value(CASE WHEN value > 20 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM events) SELECT event_id, round(v / lag(v) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1, 6) AS change FROM f")
+def pct_change_filled(s, d):
+    """Missing values (here those up to 20) take the last one before; the change is from row to row."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    seen = F.last(F.when(F.col("value") > 20, F.col("value")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = table(s, d, "events").withColumn("v", seen)
+    return rows.select("event_id", F.round(F.try_divide(F.col("v"), F.lag("v").over(w)) - 1, 6).alias("change"))
+
+
 @query("WITH " + _DAILY + " SELECT sym, day, round(sum(px) OVER w, 2) AS window_sum, round(px, 4) AS label FROM daily WINDOW w AS (PARTITION BY sym ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER w = 60")
 def lag_window_60(s, d):
     """Windows of 60 lags with the next value as label, shown by their sums."""
@@ -46,11 +55,23 @@ def lag_window_60(s, d):
 
 @query("SELECT event_id, CASE WHEN row_number() OVER (ORDER BY ts, event_id) <= ceil(0.8::double * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part, row_number() OVER (ORDER BY ts, event_id) > ceil(0.8::double * count(*) OVER ()) - 60 AS test_window FROM events")
 def chrono_split_80(s, d):
-    """First 80 % in time order; test windows reach 60 rows back.  Ranks come from days and rows within a day."""
+    """First 80 % in time order; test windows reach 60 rows back.
+
+    Nothing is sorted as a whole: the rows at the two ranks are found by time, then by number among the rows of that time, and every row is compared with them.
+    """
     e = table(s, d, "events").select("event_id", "ts")
-    ranked = H.global_rank(e, F.to_date("ts"), ["ts", "event_id"], "rn")
-    n = e.agg(F.ceil(F.count("*") * 0.8).alias("cut"))
-    return ranked.crossJoin(F.broadcast(n)).select("event_id", F.when(F.col("rn") <= F.col("cut"), "train").otherwise("test").alias("part"), (F.col("rn") > F.col("cut") - 60).alias("test_window"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    last = lambda n: (F.ceil(n * 0.8) - 1).cast("bigint")  # noqa: E731  ranks from 0: of the last training row, and of the last row before the test windows
+    times = H.at_ranks(e.select(micros.alias("t")), "t", lambda n: F.array(last(n), F.greatest(last(n) - 60, F.lit(0).cast("bigint"))))
+    ends = times.select((last(F.col("n")) < 60).alias("short"), *[F.col("found")[i][f].alias(f"{f}{i}") for i in (0, 1) for f in ("value", "before")], *[F.greatest(last(F.col("n")) - 60 * i, F.lit(0)).alias(f"rank{i}") for i in (0, 1)])
+    out = e.crossJoin(F.broadcast(ends))
+    later = []
+    for i in (0, 1):
+        same = e.crossJoin(F.broadcast(ends)).where(micros == F.col(f"value{i}"))
+        own = H.at_ranks(same, "event_id", lambda n: F.array("left"), left=F.first(F.col(f"rank{i}") - F.col(f"before{i}")))
+        out = out.crossJoin(F.broadcast(own.select(F.col("found")[0]["value"].alias(f"id{i}"))))
+        later.append((micros > F.col(f"value{i}")) | ((micros == F.col(f"value{i}")) & (F.col("event_id") > F.col(f"id{i}"))))
+    return out.select("event_id", F.when(later[0], "test").otherwise("train").alias("part"), (later[1] | F.col("short")).alias("test_window"))
 
 
 @query("WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT event_id, round((value - lo) / (hi - lo), 6) AS scaled, round((value - lo) / (hi - lo) * (hi - lo) + lo, 6) AS back FROM events, e")
@@ -82,11 +103,11 @@ def ring_buffer(s, d):
 
 @query("WITH b AS (SELECT ts::date::varchar AS batch, sum(value) AS s, count(*) AS n, sum(value*value) AS q FROM events GROUP BY 1) SELECT batch, round(sum(s) OVER w / sum(n) OVER w, 6) AS mean, round(sqrt(greatest(sum(q) OVER w / sum(n) OVER w - pow(sum(s) OVER w / sum(n) OVER w, 2), 0)), 4) AS std FROM b WINDOW w AS (ORDER BY batch)")
 def running_moments(s, d):
-    """Mean and deviation of all batches so far: batches are summed first, so the ordered step sees one row each."""
+    """Mean and deviation of all batches so far: rows are summed by batch, batches by month, and months are few."""
     b = table(s, d, "events").groupBy(F.to_date("ts").cast("string").alias("batch")).agg(F.sum("value").alias("s"), F.count("*").alias("n"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    n, mean = F.sum("n").over(w), F.sum("s").over(w) / F.sum("n").over(w)
-    return b.select("batch", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.sum("q").over(w) / n - mean * mean, F.lit(0.0))), 4).alias("std"))
+    r = H.running_sums(b, F.substring("batch", 1, 7), "batch", ["s", "n", "q"])
+    mean = F.col("run_s") / F.col("run_n")
+    return r.select("batch", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.col("run_q") / F.col("run_n") - mean * mean, F.lit(0.0))), 4).alias("std"))
 
 
 @query("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::bigint AS position FROM events")
@@ -112,3 +133,12 @@ def batch_chunks(s, d):
 def per_prompt_stats(s, d):
     v = F.col("value")
     return table(s, d, "events").groupBy("user_id").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), (F.max(v) - F.min(v) > 0).alias("varies"))
+
+
+@query("SELECT event_id, round(avg(value) OVER w, 6) AS mean, round(CASE WHEN count(*) OVER w < 4 THEN 0 ELSE (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-6::double) END, 4) AS advantage FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)")
+def per_prompt_tracker(s, d):
+    """Running statistics: each reward against the last 16 of its prompt (a buffer of bounded length); 0 while there are under four."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-15, 0)
+    v = F.col("value")
+    advantage = F.when(F.count("*").over(w) < 4, 0.0).otherwise((v - F.avg(v).over(w)) / (F.stddev_pop(v).over(w) + 1e-6))
+    return table(s, d, "events").select("event_id", F.round(F.avg(v).over(w), 6).alias("mean"), F.round(advantage, 4).alias("advantage"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
 from tessera.functions import strings as S
 from tessera.operators import profile as P
 from tessera.operators import shape as H
-from tessera.sources.tables import literal, table
+from tessera.sources import tables as T
+from tessera.sources.tables import table
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ORD = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -167,7 +170,9 @@ def odd_filter(s, d):
     return table(s, d, "part").where(F.col("p_size") % 2 != 0).select("p_partkey")
 
 
-@query("SELECT round(regr_slope(l_extendedprice/1000::double, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice/1000::double, l_quantity), 6) AS intercept, round(regr_r2(l_extendedprice/1000::double, l_quantity), 6) AS r2, regr_count(l_extendedprice, l_quantity)::bigint AS n FROM lineitem")
+@query("""WITH f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, count(*) AS n, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, avg(x) AS mx FROM (SELECT l_extendedprice/1000::double AS y, l_quantity::double AS x FROM lineitem)),
+ g AS (SELECT *, sqrt(syy * (1 - r2) / (n - 2)) AS s FROM f), h AS (SELECT *, s / sqrt(sxx) AS sb, s * sqrt(1::double / n + mx * mx / sxx) AS sa FROM g)
+ SELECT round(b, 6) AS slope, round(a, 6) AS intercept, round(r2, 6) AS r2, n::bigint AS n, round(sb, 6) AS slope_se, round(sa, 6) AS intercept_se, round(b / sb, 3) AS slope_t, round(a / sa, 3) AS intercept_t, round(s, 6) AS sigma, (n - 2)::bigint AS df FROM h""")
 def ols_simple(s, d):
     return P.simple_regression(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, F.col("l_quantity"))
 
@@ -196,35 +201,56 @@ def ordinal_factor(s, d):
     return table(s, d, "orders").select("o_orderkey", H.ordinal("o_orderpriority", ["5-LOW", "3-MEDIUM", "2-HIGH", "1-URGENT"]).cast("double").alias("level"))
 
 
+@query("WITH m AS (SELECT avg(c_acctbal) FILTER (c_acctbal > 0) AS mean FROM customer) SELECT c_custkey, round(CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE mean END, 4) AS v FROM customer, m")
+def mean_fill(s, d):
+    rows = table(s, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("v"))
+    return H.fill_mean(rows, "v").select("c_custkey", F.round("v", 4).alias("v"))
+
+
 @query("WITH m AS (SELECT median(CASE WHEN c_acctbal > 0 THEN c_acctbal END) AS med FROM customer) SELECT c_custkey, round(coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, med), 4) AS v FROM customer, m")
 def median_fill(s, d):
     rows = table(s, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("v"))
     return H.fill_median(rows, "v").select("c_custkey", F.round("v", 4).alias("v"))
 
 
-_APPS = [(1, "$4.99", "1,000+", "19M", "January 7, 2018", "1.2.3"), (2, "0", "5,000,000+", "201k", "June 20, 2019", "Varies with device"), (3, "$1,204.5", "50", "Varies with device", "not a date", "4.0-beta 2"), (4, None, None, None, None, None), (5, "x", "", "1.5M", "August 1, 2018", "v2.0.1 [3]")]
-_APP_SCHEMA = "id int, price string, installs string, size string, updated string, version string"
+def _written(s, d):
+    """Prices, counts, sizes and versions as people write them, made of the numbers of parts."""
+    n, z = F.col("p_partkey"), F.col("p_size")
+    text = lambda *x: F.concat(*[v if not isinstance(v, str) else F.lit(v) for v in x])
+    version = [text(z.cast("string"), ".", (n % 7).cast("string"), ".", (n % 3).cast("string")), F.lit("Varies with device"), text(z.cast("string"), ".0-beta ", (n % 5).cast("string")), text("v", z.cast("string"), ".", (n % 9).cast("string"), ".1 [3]")]
+    size = [text(z.cast("string"), "M"), text((n % 900 + 100).cast("string"), "k"), F.lit("Varies with device")]
+    return table(s, d, "part").select(
+        "p_partkey",
+        F.when(n % 10 == 0, F.lit("x")).otherwise(text("$", F.format_number(F.round("p_retailprice", 2), 2))).alias("price"),
+        text(F.format_number(n * 1000, 0), "+").alias("installs"),
+        F.get(F.array(*version), (n % 4).cast("int")).alias("version"),
+        F.get(F.array(*size), (n % 3).cast("int")).alias("size"),
+    )
 
 
-@query("SELECT * FROM (VALUES (1, 4.99::double, 1000::double), (2, 0, 5000000), (3, 1204.5, 50), (4, NULL, NULL), (5, NULL, NULL)) t(id, price, installs)")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN round(p_retailprice, 2) END AS price, (p_partkey * 1000)::double AS installs FROM part")
 def clean_price(s, d):
-    return literal(s, _APPS, _APP_SCHEMA).select("id", S.price("price").alias("price"), S.price("installs").alias("installs"))
+    return _written(s, d).select("p_partkey", S.price("price").alias("price"), S.price("installs").alias("installs"))
+
+
+_VERSION = "CASE p_partkey % 4 WHEN 0 THEN p_size || '.' || p_partkey % 7 || '.' || p_partkey % 3 WHEN 1 THEN 'Varies with device' WHEN 2 THEN p_size || '.0-beta ' || p_partkey % 5 ELSE 'v' || p_size || '.' || p_partkey % 9 || '.1 [3]' END"
 
 
-@query("SELECT * FROM (VALUES (1, 1.23::double), (2, 0), (3, 4.00002), (4, NULL), (5, NULL)) t(id, version)")
+@query(rf"WITH a AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_VERSION}, '[\[\]]', '', 'g'), '[-+|/:;(_)@]', '0', 'g'), '\s+', '0', 'g'), '[A-Za-z]+', '0', 'g') AS x FROM part) SELECT p_partkey, round(try_cast(CASE WHEN strpos(x, '.') = 0 THEN x ELSE substr(x, 1, strpos(x, '.')) || replace(substr(x, strpos(x, '.') + 1), '.', '') END AS double), 9) AS version FROM a")
 def version_normalize(s, d):
-    rows = literal(s, _APPS, _APP_SCHEMA).select("id", S.version_number("version").alias("version"))
-    return rows.withColumn("version", F.when(F.col("id") < 5, F.col("version")))
+    return _written(s, d).select("p_partkey", F.round(S.version_number("version"), 9).alias("version"))
 
 
-@query("SELECT * FROM (VALUES (1, 19::double), (2, 0.196), (3, NULL), (4, NULL), (5, 1.5)) t(id, size_mb)")
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size::double WHEN 1 THEN round_even((p_partkey % 900 + 100)::double / 1024, 3) END AS size_mb FROM part")
 def kb_to_mb(s, d):
-    return literal(s, _APPS, _APP_SCHEMA).select("id", S.size_mb("size").alias("size_mb"))
+    return _written(s, d).select("p_partkey", S.size_mb("size").alias("size_mb"))
 
 
-@query("SELECT id, epoch(strptime(x, '%B %-d, %Y'))::double AS epoch FROM (VALUES (1, 'January 7, 2018'), (2, 'June 20, 2019'), (3, NULL), (4, NULL), (5, 'August 1, 2018')) t(id, x)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN epoch(date_trunc('day', o_orderdate))::double END AS epoch FROM orders")
 def date_to_epoch(s, d):
-    return literal(s, _APPS, _APP_SCHEMA).select("id", S.epoch("updated").cast("double").alias("epoch"))
+    """Dates as people write them; what isn't one is null."""
+    written = F.when(F.col("o_orderkey") % 11 == 0, F.lit("not a date")).otherwise(F.date_format("o_orderdate", "MMMM d, yyyy"))
+    return table(s, d, "orders").select("o_orderkey", S.epoch(written).cast("double").alias("epoch"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::int AS k FROM events")
@@ -232,22 +258,23 @@ def props_flatten(s, d):
     return table(s, d, "events").select("event_id", F.from_json("props", "struct<k: int>")["k"].alias("k"))
 
 
-_NESTED = """{'1': {'meta_data': {'item': 'steak', 'frozen': 'true'}, 'survey_result': {'score': '2.5'}, 'sample_item_index': 7}, '2': {'meta_data': {'item': 'tofu', 'frozen': 'false'}, 'survey_result': {'score': '0.5'}, 'sample_item_index': 9}}"""
-
-
-@query("SELECT * FROM (VALUES ('1', 7, 'steak', 2.5::double), ('2', 9, 'tofu', 0.5)) t(id, sample_item_index, item, score)")
+@query("SELECT c_custkey, c_custkey::varchar AS id, c_nationkey::int AS sample_item_index, c_mktsegment AS item, c_acctbal AS score FROM customer UNION ALL SELECT c_custkey, 'x' || c_custkey, c_nationkey::int + 1, 'tofu', 0.5::double FROM customer")
 def nested_flatten(s, d):
-    """A map of structs written as text, to rows."""
+    """A map of structs written as text with single quotes, to rows: two of each customer."""
     kind = "map<string, struct<meta_data: map<string, string>, survey_result: map<string, string>, sample_item_index: int>>"
-    rows = literal(s, [(_NESTED,)], "doc string").select(F.explode(F.from_json("doc", kind)).alias("id", "v"))
-    return rows.select("id", "v.sample_item_index", F.col("v.meta_data")["item"].alias("item"), F.col("v.survey_result")["score"].cast("double").alias("score"))
+    one = lambda key, item, score, n: F.concat(F.lit("'"), key, F.lit("': {'meta_data': {'item': '"), item, F.lit("', 'frozen': 'true'}, 'survey_result': {'score': '"), score, F.lit("'}, 'sample_item_index': "), n.cast("string"), F.lit("}"))
+    key, n = F.col("c_custkey").cast("string"), F.col("c_nationkey")
+    doc = F.concat(F.lit("{"), one(key, F.col("c_mktsegment"), F.col("c_acctbal").cast("string"), n), F.lit(", "), one(F.concat(F.lit("x"), key), F.lit("tofu"), F.lit("0.5"), n + 1), F.lit("}"))
+    rows = table(s, d, "customer").select("c_custkey", F.explode(F.from_json(doc, kind)).alias("id", "v"))
+    return rows.select("c_custkey", "id", "v.sample_item_index", F.col("v.meta_data")["item"].alias("item"), F.col("v.survey_result")["score"].cast("double").alias("score"))
 
 
-@query("SELECT * FROM (VALUES (10, 2.8921::double), (20, 1.5), (30, 0.5)) t(step, loss)")
+@query("SELECT o_custkey AS run, o_orderkey AS step, o_totalprice AS loss FROM orders")
 def log_history_flatten(s, d):
-    doc = '{"log_history": [{"step": 10, "loss": 2.8921}, {"step": 20, "loss": 1.5}, {"step": 30, "loss": 0.5}]}'
-    rows = literal(s, [(doc,)], "doc string").select(F.explode(F.from_json("doc", "struct<log_history: array<struct<step: int, loss: double>>>")["log_history"]).alias("x"))
-    return rows.select("x.step", "x.loss")
+    """The history inside a trainer's state, a document for each run, to rows."""
+    states = table(s, d, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("loss"))).alias("log_history"))).alias("doc"))
+    rows = states.select("run", F.explode(F.from_json("doc", "struct<log_history: array<struct<step: bigint, loss: double>>>")["log_history"]).alias("x"))
+    return rows.select("run", "x.step", "x.loss")
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderdate::date::varchar AS day FROM orders")
@@ -288,14 +315,23 @@ def date_range_scan(s, d):
     return table(s, d, "orders").where(F.col("o_orderdate").between(F.lit("1996-01-01").cast("timestamp"), F.lit("1997-01-01").cast("timestamp"))).select("o_orderkey")
 
 
-@query("SELECT * FROM (VALUES ('2024-02-29', '2023-02-28'), ('2025-11-03', '2024-11-03')) t(day, back)")
+@query("SELECT o_orderkey, (o_orderdate::date - INTERVAL 1 YEAR)::date::varchar AS back FROM orders")
 def year_back(s, d):
-    return literal(s, [("2024-02-29",), ("2025-11-03",)], "x string").select(F.to_date("x").alias("day")).select(F.col("day").cast("string").alias("day"), F.add_months("day", -12).cast("string").alias("back"))
+    """The same day a year before; February 29 becomes the 28th."""
+    return table(s, d, "orders").select("o_orderkey", T.year_back(F.to_date("o_orderdate")).cast("string").alias("back"))
 
 
-@query("SELECT * FROM (VALUES ('2019-01-05', 1.5::double), ('2019-01-12', 2.5)) t(day, sales)")
+@query("SELECT o_orderkey, o_orderdate::date::varchar AS day FROM orders")
 def weekly_series(s, d):
-    return literal(s, [(20190105, 1.5), (20190112, 2.5)], "date int, sales double").select(F.to_date(F.col("date").cast("string"), "yyyyMMdd").cast("string").alias("day"), "sales")
+    """Days that a file holds as numbers, year first."""
+    days = table(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyyMMdd").cast("int").alias("date"))
+    return days.select("o_orderkey", F.to_date(F.col("date").cast("string"), "yyyyMMdd").cast("string").alias("day"))
+
+
+@query("SELECT o_orderpriority AS symbol, o_orderdate::date AS date, o_totalprice AS close FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31'")
+def quotes_scan(s, d):
+    """A market-data scan between two dates, over the orders."""
+    return T.quotes(table(s, d, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice", date(1995, 1, 1), date(1995, 12, 31))
 
 
 @query("SELECT column_name AS col, (row_number() OVER () - 1)::int AS pos, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS type FROM (DESCRIBE SELECT * FROM part) x(column_name, data_type, a, b, c, e)")
@@ -312,7 +348,9 @@ def rename_reorder(s, d):
 
 @query("SELECT count(*) FILTER (c_acctbal < 0) AS n_negative, round(median(c_acctbal) FILTER (c_mktsegment = 'BUILDING'), 4) AS med_building, count(*) AS n FROM customer")
 def conditional_aggregates(s, d):
-    return table(s, d, "customer").agg(F.count_if(F.col("c_acctbal") < 0).alias("n_negative"), F.round(F.median(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))), 4).alias("med_building"), F.count("*").alias("n"))
+    c = table(s, d, "customer")
+    med = H.quantiles(c.where("c_mktsegment = 'BUILDING'"), "c_acctbal", [0.5]).select(F.round(F.col("q")[0], 4).alias("med_building"))
+    return c.agg(F.count_if(F.col("c_acctbal") < 0).alias("n_negative"), F.count("*").alias("n")).crossJoin(F.broadcast(med)).select("n_negative", "med_building", "n")
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_nationkey = 1 THEN c_acctbal * 2 ELSE c_acctbal END AS v FROM customer")
@@ -321,14 +359,7 @@ def conditional_update(s, d):
     return table(s, d, "customer").select("c_custkey", F.when(b < 0, 0.0).when(F.col("c_nationkey") == 1, b * 2).otherwise(b).alias("v"))
 
 
-@query("SELECT o_orderkey, 0::int AS fold FROM orders WHERE false", name="split_fold_shape")
-def split_fold_shape(s, d):
-    """No order is in two folds: rows of orders whose fold is not one of four."""
-    folds = table(s, d, "orders").select("o_orderkey", H.hash_fold("o_orderkey", 4).cast("int").alias("fold"))
-    return folds.where(~F.col("fold").isin(0, 1, 2, 3))
-
-
-@query()
+@query("SELECT o_orderkey, (('0x' || substr(md5(o_orderkey::varchar), 1, 8))::bigint % 4)::int AS fold FROM orders")
 def split_fold(s, d):
-    """The fold of every order; crc32 has no SQL form."""
-    return table(s, d, "orders").select("o_orderkey", H.hash_fold("o_orderkey", 4).cast("int").alias("fold"))
+    """The fold of every order."""
+    return table(s, d, "orders").select("o_orderkey", H.hash_fold("o_orderkey", 4).alias("fold"))

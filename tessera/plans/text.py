@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import query
 from tessera.functions import arrays as A
 from tessera.functions import strings as S
+from tessera.operators import shape as H
 from tessera.plans import views as V
 from tessera.sources.tables import literal, table
 
@@ -55,29 +56,27 @@ def chat_render(s, d):
     return table(s, d, "conversations").groupBy("conv_id").agg(m.alias("m")).select("conv_id", S.chat("m").alias("chat"))
 
 
-@query("SELECT doc_id, regexp_replace(list_extract(string_split('x [RESPONSE]' || chr(10) || text || '  ', '[RESPONSE]' || chr(10)), -1), '^\\s+|\\s+$', '', 'g') AS answer FROM documents WHERE doc_id < 0")
-def marker_extract_none(s, d):
-    """No document has a negative id: the shape of the result only."""
-    return table(s, d, "documents").where("doc_id < 0").select("doc_id", S.response_part("text").alias("answer"))
-
-
 @query("SELECT doc_id, regexp_replace(list_extract(string_split('x [RESPONSE]' || chr(10) || text || '  ', '[RESPONSE]' || chr(10)), -1), '^\\s+|\\s+$', '', 'g') AS answer FROM documents")
 def marker_extract_documents(s, d):
     """What follows the last marker, of every document."""
     return table(s, d, "documents").select("doc_id", S.response_part(F.concat(F.lit("x [RESPONSE]\n"), "text", F.lit("  "))).alias("answer"))
 
 
-@query("SELECT * FROM (VALUES (1, 'yes'), (2, 'b'), (3, 'plain')) t(id, answer)")
+@query(r"SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 3 = 1 THEN role ELSE text END, '^\s+|\s+$', '', 'g') AS answer FROM conversations")
 def marker_extract(s, d):
-    rows = [(1, "p [RESPONSE]\n  yes \n"), (2, "[RESPONSE]\na[RESPONSE]\n b"), (3, " plain ")]
-    return literal(s, rows, "id int, x string").select("id", S.response_part("x").alias("answer"))
+    """After the one marker, after the last of two, or the whole text where there is none."""
+    t, m = F.col("text"), S.RESPONSE + "\n"
+    x = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("p " + m + "  "), t, F.lit(" \n"))).when(F.col("turn") % 3 == 1, F.concat(F.lit(m), t, F.lit(m + " "), "role")).otherwise(F.concat(F.lit(" "), t, F.lit(" ")))
+    return table(s, d, "conversations").select("conv_id", "turn", S.response_part(x).alias("answer"))
 
 
-@query("SELECT * FROM (VALUES (1, 'A'), (2, 'B'), (3, 'A'), (4, NULL), (5, 'B')) t(id, winner)")
+@query("SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'A' WHEN 4 THEN CASE WHEN turn % 2 = 0 THEN 'A' ELSE 'B' END END AS winner FROM conversations")
 def judge_parse(s, d):
-    rows = [(1, "thinking\nwin: a"), (2, "x\n  WIN: B \n\n"), (3, "Win: A or win: b"), (4, "  \n"), (5, "unclear")]
-    out = literal(s, rows, "id int, x string").select("id", S.verdict("x", F.when(F.col("id") % 2 == 0, "A").otherwise("B")).alias("winner"))
-    return out
+    """The verdict of an answer's last line; both named: the first; none named: a fallback; no answer: null."""
+    t = F.col("text")
+    kinds = [F.concat(t, F.lit("\nwin: a")), F.concat(t, F.lit("\n  WIN: B \n\n")), F.concat(F.lit("WIN: B\n"), t, F.lit("\nWin: A or win: b")), F.lit("  \n"), F.concat(t, F.lit("\nunclear"))]
+    x = F.get(F.array(*kinds), (F.col("conv_id") % 5).cast("int"))
+    return table(s, d, "conversations").select("conv_id", "turn", S.verdict(x, F.when(F.col("turn") % 2 == 0, "A").otherwise("B")).alias("winner"))
 
 
 @query("SELECT conv_id, turn, 'Q: ' || role || ' A: ' || text AS filled FROM conversations")
@@ -128,27 +127,50 @@ def add_bos_eos(s, d):
     return t.select("doc_id", F.size(A.with_eos(A.with_bos("tokens", F.lit("The")), F.lit("</s>"))).cast("bigint").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (1, '0,0,5', '5,0,0', '-100,1,-100,0'), (2, '1,2,3', '1,2,3', '1')) t(id, lft, rgt, steps)")
+_TURNS = r"t AS (SELECT conv_id, turn, role = 'assistant' AS y, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS s FROM conversations), u AS (SELECT * FROM t WHERE len(s) > 0)"
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, repeat('0,', greatest(12 - count(*), 0)) || string_agg(len(s)::varchar, ',' ORDER BY turn) AS lft, string_agg(len(s)::varchar, ',' ORDER BY turn) || repeat(',0', greatest(12 - count(*), 0)) AS rgt, string_agg(repeat('-100,', len(s) - 1) || y::int::varchar, ',' ORDER BY turn) AS steps FROM u GROUP BY 1")
 def pad_and_steps(s, d):
-    rows = [(1, [5], [[7, 8], [9, 4]], [True, False]), (2, [1, 2, 3], [[7]], [True])]
-    t = literal(s, rows, "id int, a array<int>, s array<array<int>>, y array<boolean>")
+    """Token counts of a conversation's turns padded to 12 at either side, and the labels of its steps: a turn's tokens are ignored but for the last."""
+    t = table(s, d, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("y"), S.tokens("text").alias("s")).where(F.size("s") > 0)
+    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "y", "s"))).alias("x"))
     j = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")
-    return t.select("id", j(A.pad("a", 3, 0, left=True)).alias("lft"), j(A.pad("a", 3, 0)).alias("rgt"), j(A.step_labels("s", "y")).alias("steps"))
+    n = F.transform("x", lambda v: F.size(v["s"]))
+    return g.select("conv_id", j(A.pad(n, 12, 0, left=True)).alias("lft"), j(A.pad(n, 12, 0)).alias("rgt"), j(A.step_labels(F.col("x.s"), F.col("x.y"))).alias("steps"))
 
 
-@query("WITH " + V.TOKENS + " SELECT doc_id, p.i - 1 AS pos, p.t AS token FROM (SELECT doc_id, unnest(list_transform(tokens[1:4], lambda t, i: struct_pack(t := t, i := i))) AS p FROM tokens)")
+@query("WITH " + V.TOKENS + " SELECT doc_id, p.i - 1 AS pos, p.t AS token FROM (SELECT doc_id, unnest(list_transform(tokens, lambda t, i: struct_pack(t := t, i := i))) AS p FROM tokens)")
 def padding_free(s, d):
     """Sequences laid end to end with position ids."""
-    return V.tokens(s, d).select("doc_id", F.posexplode(A.keep_start("tokens", 4)).alias("pos", "token")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
+    return V.tokens(s, d).select("doc_id", F.posexplode("tokens").alias("pos", "token")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
+
 
+_PAIRED = "WITH " + V.PREF_TEXT + r", p AS (SELECT conv_id, list_filter(regexp_split_to_array('shared words ' || chosen, '\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array('shared words ' || rejected, '\s+'), lambda x: x <> '') AS b FROM pref_text)"
 
-@query("SELECT * FROM (VALUES (1, 'a,b', 2), (2, '', 1), (3, 'a', 0)) t(id, shared, differing)")
+
+@query(f"{_PAIRED}, q AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])), least(len(a), len(b)) + 1) AS first FROM p) SELECT conv_id, array_to_string(a[1:first - 1], ' ') AS shared, (len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) + abs(len(a) - len(b)))::int AS differing FROM q")
 def prompt_extract(s, d):
-    rows = [(1, ["a", "b", "c"], ["a", "b", "d", "e"]), (2, ["x"], ["y"]), (3, ["a"], ["a"])]
-    t = literal(s, rows, "id int, a array<string>, b array<string>")
-    return t.select("id", F.array_join(A.common_prefix("a", "b"), ",").alias("shared"), A.differing("a", "b").alias("differing"))
+    """What the token sequences of both answers begin with, and how many places differ."""
+    p = V.pref_text(s, d).select("conv_id", *[S.tokens(F.concat(F.lit("shared words "), c)).alias(n) for n, c in (("a", "chosen"), ("b", "rejected"))])
+    return p.select("conv_id", F.array_join(A.common_prefix("a", "b"), " ").alias("shared"), A.differing("a", "b").alias("differing"))
 
 
-@query("WITH " + V.TOKENS + " SELECT doc_id, array_to_string(tokens[2:4], ' ') AS nxt, list_contains(tokens[1:50], 'of') AS has_of FROM tokens")
+@query("WITH " + V.TOKENS + " SELECT doc_id, sha256(array_to_string(tokens[2:], ' ')) AS nxt, list_contains(tokens, 'of') AS has_of FROM tokens")
 def shift_tokens(s, d):
-    return V.tokens(s, d).select("doc_id", F.array_join(A.keep_start(A.shifted("tokens"), 3), " ").alias("nxt"), A.has(A.keep_start("tokens", 50), F.lit("of")).alias("has_of"))
+    """Every token but the first, as a digest, and whether a token is anywhere."""
+    return V.tokens(s, d).select("doc_id", F.sha2(F.array_join(A.shifted("tokens"), " "), 256).alias("nxt"), A.has("tokens", F.lit("of")).alias("has_of"))
+
+
+@query("WITH " + V.TOKENS + " SELECT doc_id, len(tokens)::int AS n FROM tokens")
+def length_validated(s, d):
+    """Tokens with their masks; a row where the two differ in length would end the run."""
+    t = V.tokens(s, d).withColumn("mask", F.transform("tokens", lambda x: F.lit(1)))
+    return H.same_length(t, "tokens", "mask").select("doc_id", F.size("tokens").alias("n"))
+
+
+@query(r"WITH x AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM documents), n AS (SELECT doc_id, length(w)::double / 4 AS v FROM x), m AS (SELECT doc_id, max(v) AS m FROM n GROUP BY 1), z AS (SELECT doc_id, any_value(m) + ln(sum(exp(v - m))) AS z FROM n JOIN m USING (doc_id) GROUP BY 1) SELECT doc_id, round(-sum(exp(v - z) * (v - z)), 6) AS entropy FROM n JOIN z USING (doc_id) GROUP BY 1")
+def token_entropy(s, d):
+    """Entropy of the softmax of logits (a quarter of a word's length stands in for them)."""
+    t = V.tokens(s, d).where(F.size("tokens") > 0).select("doc_id", F.transform("tokens", lambda x: F.length(x) / F.lit(4.0)).alias("logits"))
+    return t.select("doc_id", F.round(A.softmax_entropy("logits"), 6).alias("entropy"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a spreadsheet (a fixed value).
+SHEET_ROWS = 1_048_576
+
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """CSV with a header and no index; ``single`` is for small results only."""
@@ -12,7 +15,12 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
 
 
 def write_excel_csv(df: DataFrame, path: str) -> None:
-    """CSV whose first header begins with a byte-order mark, so that spreadsheets read it as UTF-8."""
+    """CSV whose first header begins with a byte-order mark, so that spreadsheets read it as UTF-8.
+
+    One file, as a spreadsheet opens one; more rows than its 1,048,576 are an error, since they would be lost there.
+    """
+    if df.limit(SHEET_ROWS).count() == SHEET_ROWS:  # one of them is the header
+        raise ValueError(f"a spreadsheet holds {SHEET_ROWS - 1:,} rows below its header")
     first, *rest = df.columns
     df.withColumnRenamed(first, "﻿" + first).select("﻿" + first, *rest).coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
 

@@ -1,18 +1,19 @@
-"""Suffix arrays by induced sorting, in array operations.
+"""Suffix arrays by induced sorting.
 
 Suffixes are classified (L when larger than their successor, S when smaller), the leftmost S suffixes (LMS)
 are bucketed and their substrings sorted by inducing L suffixes left to right and S suffixes right to left,
-named, and the string of names is sorted the same way; a last induction places all suffixes.  A bucket is
-placed in waves: all its suffixes at hand at once, then those they put into the same bucket.  A string of
-names with too many kinds for buckets to pay is sorted by doubling ranks instead.
+named, and the string of names is sorted the same way, down to a string whose names all differ; a last induction
+places all suffixes.  Where buckets are long, a bucket is placed in waves of array operations: all its suffixes
+at hand at once, then those they put into the same bucket.  In a string of names buckets are short, and suffixes
+are placed one by one; the order is the same.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names per kind from which the string of names is sorted by induction too.
-RECURSE = 64
+#: Symbols of a bucket, on average, from which buckets are placed in waves.
+LONG_BUCKET = 256
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -45,9 +46,11 @@ def _place(sa: np.ndarray, s: np.ndarray, j: np.ndarray, edge: np.ndarray, down:
         edge[c] += count
 
 
-def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, kinds: int) -> np.ndarray:
+def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, kinds: int, long_bucket: int = LONG_BUCKET) -> np.ndarray:
     """All suffixes in order, from the LMS suffixes in order (or, for their substrings, in any order)."""
     n = len(s)
+    if n < kinds * long_bucket:
+        return _one_by_one(s, small, lms, kinds)
     size = np.bincount(s, minlength=kinds)
     end = np.cumsum(size)
     begin = end - size
@@ -86,6 +89,40 @@ def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, kinds: int) -> np.
     return sa
 
 
+def _one_by_one(s: np.ndarray, small: np.ndarray, lms: np.ndarray, kinds: int) -> np.ndarray:
+    """The same induction over plain lists, which are read while they fill."""
+    n, s = len(s), s.astype(np.int64)
+    size = np.bincount(s, minlength=kinds)
+    end = np.cumsum(size)
+    key = s[lms]
+    order = np.argsort(key, kind="stable")
+    key, lms = key[order], lms[order]
+    upto = np.cumsum(np.bincount(key, minlength=kinds))
+    begin = np.full(n, -1, np.int64)
+    begin[end[key] - upto[key] + np.arange(len(lms))] = lms
+    sa = begin.tolist()
+    # the bucket of the suffix before each one, if that is of the kind sought, else -1; an empty place reads the last entry
+    before = np.full((2, n + 1), -1, np.int64)
+    before[0, 1:n] = np.where(small[:-1], -1, s[:-1])
+    before[1, 1:n] = np.where(small[:-1], s[:-1], -1)
+    bucket, edge = before[0].tolist(), (end - size).tolist()
+    for j in sa:
+        c = bucket[j]
+        if c >= 0:
+            at = edge[c]
+            sa[at] = j - 1
+            edge[c] = at + 1
+    bucket, edge = before[1].tolist(), end.tolist()
+    for j in reversed(sa):
+        c = bucket[j]
+        if c >= 0:
+            at = edge[c] - 1
+            sa[at] = j - 1
+            edge[c] = at
+    sa[0] = n - 1
+    return np.array(sa, np.int64)
+
+
 def _names(s: np.ndarray, lms: np.ndarray, sorted_lms: np.ndarray) -> np.ndarray:
     """Numbers of the LMS substrings, equal ones alike, in text order."""
     n = len(s)
@@ -109,25 +146,8 @@ def _names(s: np.ndarray, lms: np.ndarray, sorted_lms: np.ndarray) -> np.ndarray
     return name
 
 
-def _doubled(rank: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of ranks, by their first ``depth`` symbols at least."""
-    n, span = len(rank), 1
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[:-span] = rank[span:] + 1
-        key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        fresh = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        span *= 2
-        if fresh[-1] == n - 1 or span >= depth or span >= n:
-            return order
-
-
-def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``s`` (which ends in a unique 0) in the order of their first ``depth`` symbols at least; ties in any order."""
+def suffix_array(s: np.ndarray, long_bucket: int = LONG_BUCKET) -> np.ndarray:
+    """Suffixes of ``s``, which ends in its only 0, in order."""
     n = len(s)
     if n < 3:
         return np.arange(n)[::-1]
@@ -136,16 +156,12 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    sa = induce(s, small, lms, kinds)
+    sa = induce(s, small, lms, kinds, long_bucket)
     ranked = sa[is_lms[sa]]
     name = _names(s, lms, ranked)
     if name.max(initial=0) + 1 < len(lms):
-        if (name.max() + 1) * RECURSE <= len(lms):
-            order = suffix_array(name, depth)
-        else:
-            order = _doubled(name, depth)
-        ranked = lms[order]
-    return induce(s, small, ranked, kinds)
+        ranked = lms[suffix_array(name, long_bucket)]
+    return induce(s, small, ranked, kinds, long_bucket)
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,13 +8,14 @@
 3. Different segments of a digest meet in shards.  A shard's suffix array is induced (``suffix_array``), and
    permuted common prefixes of ``LENGTH`` or more tell which starts repeat.  A digest with over ``HOT``
    segments is first cut by content into short pieces (see ``_pieces``), equal ones are counted, and only
-   different pieces that agree in all their common bytes meet.
+   different pieces that agree in all their common bytes meet; where over ``HOT`` of those are different still,
+   their few strings are counted by digest.  Which way a group goes changes what a task holds, never the result.
 4. Spans go back to their documents, which are cut in bytes.
 
 Texts are shuffled once; after that only those of documents that share an anchor move.  Matches are judged on
 the input and never cross documents.
 
-Defined results: a null text is empty; texts under ``LENGTH`` bytes lose nothing; repeated rows remove each other
+Defined results: a null text is empty; a very long one is one row, cut in place; texts under ``LENGTH`` bytes lose nothing; repeated rows remove each other
 when long enough; a null id is carried; other columns are ignored.
 """
 
@@ -32,7 +33,7 @@ from tessera.llm.common import Scratch, chunks_by_bytes, text_bytes
 from tessera.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 64
-#: Segments of one digest from which it is cut into pieces, and the starts of a piece.
+#: Segments of one digest from which it is cut into pieces (and pieces of one group from which strings are counted), and the starts of a piece.
 HOT, PIECE = 1024, 16
 SHARD_BYTES, CHUNK_BYTES = 1 << 20, 1 << 21
 
@@ -124,7 +125,7 @@ def repeats(pieces: list[bytes], counts: list[int], length: int = LENGTH) -> lis
     room = np.zeros(len(text), np.int64)
     owner = np.repeat(np.arange(len(pieces)), sizes + 1)
     room[: len(owner)] = (begin + sizes)[owner] - np.arange(len(owner))
-    sa = suffix_array(text, length)
+    sa = suffix_array(text)
     phi, shared = common_prefixes(text, sa, room)
     hit = np.zeros(len(text), bool)
     long = np.flatnonzero(shared >= length)
@@ -209,6 +210,23 @@ def _sharded(length: int):
     return run
 
 
+def _strings(length: int):
+    """Every string of a piece, by its digest."""
+    names, types = ["grp", "b", "at", "d1", "d2", "m"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for grp, b, m, body in zip(*(batch.column(c).to_pylist() for c in ("grp", "b", "m", "body"))):
+                for at in range(len(body) - length + 1):
+                    d = xxhash.xxh3_128_intdigest(body[at : at + length])
+                    out.append((grp, b, at, _signed(d >> 64), _signed(d & 0xFFFFFFFFFFFFFFFF), m))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return run
+
+
 def _cut(length: int):
     kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.int32())), ("kept", pa.binary())])
 
@@ -245,10 +263,10 @@ def dedup_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, id_col:
     twice = scratch.table(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "twice")
     shared = scratch.table(found.join(twice, "h"), "shared")
     scratch.drop("anchors")
-    segments = shared.groupBy("h", "g").agg(F.count("*").alias("m"), F.min(F.struct("k", "k2", "p")).alias("rep"))
-    kinds = segments.groupBy("h").agg(F.count("*").alias("kinds"))
-    segments = scratch.table(segments.join(kinds, "h").select("h", "g", "m", "kinds", "rep"), "segments")
-    told = shared.join(segments, ["h", "g"])
+    segments = scratch.table(shared.groupBy("h", "g").agg(F.count("*").alias("m"), F.min(F.struct("k", "k2", "p")).alias("rep")), "segments")
+    kinds = scratch.table(segments.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    several = segments.join(kinds, "h", "left").select("h", "g", "m", F.coalesce("kinds", F.lit(1)).alias("kinds"), "rep")
+    told = shared.join(several, ["h", "g"])
     chosen = (F.struct("k", "k2", "p") == F.col("rep")) & (F.col("kinds") > 1)
     send = F.when(chosen & (F.col("kinds") > hot), 2).when(chosen, 1).otherwise(0)
     marks = told.groupBy("k", "k2").agg(F.array_sort(F.collect_set(F.struct("p", "n", "a", "h", "g", "m", send.alias("send")))).alias("marks"))
@@ -261,8 +279,13 @@ def dedup_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, id_col:
     pieces = scratch.table(touched.where(F.exists("marks", lambda x: x["send"] == 2)).select("body", "marks").mapInArrow(_pieces(length), "grp bigint, b bigint, h bigint, g bigint, at int, body binary"), "pieces")
     own = F.struct("h", "g", "at")
     equal = pieces.groupBy("grp", "b").agg(F.count("*").alias("m"), F.min(own).alias("rep"))
-    one = pieces.join(equal, ["grp", "b"]).where(own == F.col("rep")).select("grp", F.col("grp").alias("h"), F.col("b").alias("g"), "m", "body")
-    cold, warm = shard(parts), shard(one).select(F.col("h").alias("grp"), F.col("g").alias("b"), "runs")
+    one = scratch.table(pieces.join(equal, ["grp", "b"]).where(own == F.col("rep")).select("grp", "b", "m", "body"), "distinct")
+    crowds = scratch.table(one.groupBy("grp").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("grp"), "crowds")
+    strings = one.join(crowds, "grp").mapInArrow(_strings(length), "grp bigint, b bigint, at int, d1 bigint, d2 bigint, m bigint")
+    again = scratch.table(strings.groupBy("d1", "d2").agg(F.sum("m").alias("c")).where("c > 1").select("d1", "d2"), "again")
+    crowded = strings.join(again, ["d1", "d2"]).groupBy("grp", "b").agg(F.flatten(F.transform(F.collect_set("at"), lambda x: F.array(x, x + 1))).alias("runs"))
+    calm = one.join(crowds, "grp", "left_anti").select("grp", F.col("grp").alias("h"), F.col("b").alias("g"), "m", "body")
+    cold, warm = shard(parts), shard(calm).select(F.col("h").alias("grp"), F.col("g").alias("b"), "runs").unionAll(crowded)
     warm = pieces.select("grp", "b", "h", "g", "at").join(warm, ["grp", "b"]).select("h", "g", F.transform("runs", lambda x: x + F.col("at")).alias("runs"))
     runs = scratch.table(cold.unionAll(warm), "runs")
     single = touched.select("k", "k2", F.explode("marks").alias("x")).where("x.m = 1").select("k", "k2", "x.p", "x.h", "x.g")

@@ -3,11 +3,13 @@
 One weight vector is shared by ordered thresholds: P(grade <= k) = sigmoid(threshold_k - w.x).  Features are
 log counts of the words, and of the word beginnings of ``PREFIXES`` bytes, most associated with toxic labels.  Labels say only whether a document is toxic; grades
 1 to 3 of toxic ones follow from how many of its words are marked by a strong association (one, two or three,
-more), grade 0 is the rest.  The fit uses a bounded sample of labelled rows (``FIT_ROWS``, by hash of the id); every
-document is scored.
+more), grade 0 is the rest.  The fit uses a bounded sample of labelled ids outside the held-out fold (``FIT_ROWS``, by hash of the
+id), one text each, and at most ``TERMS`` terms found in ``MIN_DOCS`` of them or more; every document is scored.
 
-Defined results: a null or empty text has no features and the severity of the baseline; a null id meets no label;
-repeated rows are scored each; without toxic labels every severity is 0; other columns are ignored.
+Defined results: a null or empty text has no features and the severity of the baseline; a very long text is scored whole; a null id
+meets no label; of rows that repeat an id the text of smallest digest is fitted, an id labelled twice counts as toxic if one label
+says so, and all its rows are scored; of equally associated terms the smaller come first; without toxic labels every severity is 0;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,18 +26,26 @@ from tessera.llm.common import Scratch
 from tessera.llm.decontam import words
 
 FIT_ROWS, TERMS, MIN_DOCS, GRADES = 20_000, 512, 3, 4
+FOLDS, HELD_OUT = 5, 0
 PREFIXES = (4, 6)
 MARKED = 5.0  # a term's association, in standard errors, from which it counts for grades
 STEPS, RATE, PENALTY = 400, 0.1, 1e-4
 CUT = 0.5
 
 
+def held_out(id_col: str = "doc_id"):
+    """The fold that no fit sees."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT
+
+
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """Rows (doc_id, y, text) of at most ``rows`` labelled documents, the smallest by hash."""
+    """Rows (doc_id, y, text) of at most ``rows`` labelled ids, the smallest by hash."""
     truth = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    chosen = truth.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.join(chosen, "doc_id")
+    chosen = truth.where(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = text.join(F.broadcast(chosen), "doc_id")  # ``rows`` narrow rows at most
+    one = found.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("d"), "text")).alias("best"))
+    return one.select("doc_id", "y", "best.text")
 
 
 def _terms(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:

@@ -6,7 +6,8 @@ Failing lines are removed; a document that loses too much of its words that way
 that fails the base rules.
 
 Defined results: a null, empty or blank text has no words and fails the base rules; lines are compared as
-they are; each row is judged alone, so repeated rows agree; other columns pass through ``clean`` untouched.
+they are; a very long text is judged whole, in one piece; each row is judged alone, so repeated rows agree; other columns pass through
+``stage`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Prose has one of these somewhere in a line, even where its end was cut.
 MARKS = ".!?…:;,。！？।؟、，"
 SEPARATORS = {"|", "»", "›", ">", "•", "·", "::", "/"}
+#: Fixed phrases; ``assess`` and ``stage`` take others, for other languages.
 BOILERPLATE = re.compile(
     r"all rights reserved|licensed under|released under the .{1,40} licen[cs]e|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies"
     r"|enable javascript|sign up for|subscribe to our|click here|powered by|skip to (main )?content",
@@ -36,13 +38,13 @@ BOILERPLATE = re.compile(
 SYMBOL_WORD = re.compile(r"[#*$%&|<>]{2,}|^[#*$%&|<>]+$")
 
 
-def line_fault(line: str) -> str | None:
+def line_fault(line: str, phrases: re.Pattern = BOILERPLATE) -> str | None:
     """Why a line goes, or None.  Blank lines stay."""
     w = line.split()
     n = len(w)
     if not n:
         return None
-    if n <= 30 and BOILERPLATE.search(line):
+    if n <= 30 and phrases.search(line):
         return "boilerplate"
     if n >= 3 and sum(x in SEPARATORS for x in w) * 5 >= n:
         return "navigation"
@@ -75,7 +77,7 @@ def repeat_words(w: list[bytes]) -> int:
     return total
 
 
-def judge(text: str | None) -> tuple:
+def judge(text: str | None, phrases: re.Pattern = BOILERPLATE) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cleaned text)."""
     text = text or ""
     w = text.encode("utf-8", "surrogatepass").split()
@@ -89,7 +91,7 @@ def judge(text: str | None) -> tuple:
         if k:
             dup += line in seen
             seen.add(line)
-        if line_fault(line):
+        if line_fault(line, phrases):
             lost += k
         else:
             kept_lines.append(line)
@@ -101,7 +103,7 @@ def judge(text: str | None) -> tuple:
 SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, cleaned string"
 
 
-def _judged(with_text: bool):
+def _judged(with_text: bool, phrases: re.Pattern):
     names = [x.split()[0] for x in SCHEMA.split(", ")][: None if with_text else -1]
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] * with_text
 
@@ -109,25 +111,30 @@ def _judged(with_text: bool):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                got = [judge(t.as_py()) for t in part.column(part.num_columns - 1)]
+                got = [judge(t.as_py(), phrases) for t in part.column(part.num_columns - 1)]
                 cols = [pa.array([x[i] for x in got], t) for i, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=[f"c{i}" for i in range(part.num_columns - 1)] + names)
 
     return run
 
 
-def assess(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """The columns ``keep`` with the counts and verdicts of each row, and its cleaned text if asked for."""
+def _assessed(docs: DataFrame, text_col: str, keep: tuple[str, ...], with_text: bool, phrases: re.Pattern) -> DataFrame:
+    """The columns ``keep`` as c0, c1 and so on, with the columns of ``SCHEMA``."""
     chosen = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text_col].cast("string").alias("text"))
     fields = ", ".join([f"c{i} {chosen.schema[i].dataType.simpleString()}" for i in range(len(keep))] + [SCHEMA if with_text else SCHEMA.rpartition(", ")[0]])
-    out = chosen.mapInArrow(_judged(with_text), fields)
+    return chosen.mapInArrow(_judged(with_text, phrases), fields)
+
+
+def assess(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, phrases: re.Pattern = BOILERPLATE) -> DataFrame:
+    """The columns ``keep`` with the counts and verdicts of each row, and its cleaned text if asked for."""
+    out = _assessed(docs, text_col, keep, with_text, phrases)
     return out.toDF(*keep, *out.columns[len(keep) :])
 
 
-def stage(spark, docs: DataFrame) -> DataFrame:
+def stage(spark, docs: DataFrame, phrases: re.Pattern = BOILERPLATE) -> DataFrame:
     """Documents that stay, with their failing lines removed and n_chars, where there is one, counted anew."""
-    cols = docs.columns
-    out = assess(docs, keep=tuple(c for c in cols if c != "text"), with_text=True).where("kept").withColumn("text", F.col("cleaned"))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*cols)
+    others = [c for c in docs.columns if c != "text"]
+    new = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {"text": F.col("cleaned")}
+    if "n_chars" in others:
+        new["n_chars"] = F.length("cleaned").cast(docs.schema["n_chars"].dataType)
+    return _assessed(docs, "text", tuple(others), True, phrases).where("kept").select(*[new[c].alias(c) for c in docs.columns])

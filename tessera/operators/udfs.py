@@ -197,3 +197,25 @@ def judged(fn):
         return pd.Series([-1 if (x := fn(p, (u, v))) is None else int(x) for p, u, v in zip(prompt, a, b)], dtype="int32")
 
     return run
+
+
+def tokenised(spark, vocabulary: bytes, pattern: str):
+    """Token numbers of a byte-level vocabulary (lines of base64 token and rank) as a column function; null has none."""
+    sent = spark.sparkContext.broadcast(vocabulary)  # a vocabulary file, as large for any corpus
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        encode = _encoder(sent.value, pattern).encode_ordinary
+        return pd.Series([encode(t) if t else [] for t in texts], dtype="object")
+
+    return run
+
+
+@lru_cache(maxsize=2)
+def _encoder(vocabulary: bytes, pattern: str):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(t): int(r) for t, _, r in (line.partition(b" ") for line in vocabulary.splitlines() if line)}
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

@@ -50,3 +50,10 @@ def reorder_levels(s, d):
 def reward_alignment_loss(s, d):
     """Ten less the mean reward."""
     return V.grouped_rewards(s, d).agg(F.round(10 - F.avg("r1"), 6).alias("loss"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY md5('11:' || event_id::varchar), event_id)::bigint AS place FROM events")
+def permute_rows(s, d):
+    """A permutation of the whole table: the place of each row.  Digests are even, so their first digits cut them into pieces."""
+    e = table(s, d, "events").select("event_id", shape.digest_order("event_id", 11).alias("draw"))
+    return shape.global_rank(e, F.substring("draw", 1, 2), ["draw", "event_id"], "place").select("event_id", "place")

@@ -97,6 +97,21 @@ class Settings:
         except ImportError:
             return cls(json.loads(text))
 
+    @classmethod
+    def from_arguments(cls, arguments: list[str], option: str = "config") -> "Settings":
+        """From command-line options: ``--config FILE`` is read first, ``--a.b VALUE`` then replaces the value at that path."""
+        if len(arguments) % 2 or any(not x.startswith("--") for x in arguments[::2]):
+            raise ValueError("options are pairs of --name and value")
+        given = {k[2:]: v for k, v in zip(arguments[::2], arguments[1::2])}
+        out = cls.read(given.pop(option)) if option in given else cls()
+        for path, value in given.items():
+            *above, last = path.split(".")
+            at = out.values
+            for key in above:
+                at = at.setdefault(key, {})
+            at[last] = value
+        return out
+
     def get(self, path: str, default=None):
         at = self.values
         for key in path.split("."):

@@ -269,3 +269,23 @@ def test_entropy_of_softmax(spark):
     p = np.exp(x) / np.exp(x).sum()
     got = spark.createDataFrame([(x,)], "a array<double>").select(A.softmax_entropy("a").alias("e")).first().e
     assert got == pytest.approx(-(p * np.log(p)).sum())
+
+
+def test_settings_from_arguments(tmp_path):
+    (tmp_path / "c.json").write_text('{"lr": "2e-4", "data": {"path": "a", "n": 3}}')
+    s = T.Settings.from_arguments(["--config", str(tmp_path / "c.json"), "--data.path", "b", "--ckpt", "last"])
+    assert s.number("lr", 1) == 2e-4 and s.get("data.path") == "b" and s.get("data.n") == 3 and s.get("ckpt") == "last"
+    with pytest.raises(ValueError):
+        T.Settings.from_arguments(["--config"])
+
+
+def test_byte_level_tokens_round_trip(spark):
+    import base64
+
+    merges = [bytes([b]) for b in range(256)] + [b"th", b"the", b" the", b"in", b"ing"]
+    vocabulary = b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(merges))
+    texts = ["the thing is in the ring", "", None, "naïve é"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: r.x for r in df.select("id", U.tokenised(spark, vocabulary, r" ?\S+|\s+")("t").alias("x")).collect()}
+    assert [b"".join(merges[k] for k in got[i]).decode() for i in range(4)] == ["the thing is in the ring", "", "", "naïve é"]
+    assert got[0][:2] == [257, 32] and 258 in got[0]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.objectives import log_sigmoid
-from tessera.operators.shape import ranked_values, running_sums, spread
+from tessera.operators.shape import running_sums, value_ranks
 
 
 def rank_paired(df: DataFrame, left: Column, right: Column, beta: float = 0.1, smoothing: float = 0.0, within: list[str] | None = None) -> DataFrame:
@@ -21,8 +21,7 @@ def rank_paired(df: DataFrame, left: Column, right: Column, beta: float = 0.1, s
         b = df.select(*within, right.alias("b")).withColumn("rank", F.row_number().over(w.orderBy("b")))
         pairs = a.join(b, [*within, "rank"])
     else:
-        a = spread(ranked_values(df.select(left.alias("a")), "a"), "a")
-        b = spread(ranked_values(df.select(right.alias("b")), "b"), "b")
+        a, b = value_ranks(df.select(left.alias("a")), "a"), value_ranks(df.select(right.alias("b")), "b")
         pairs = a.join(b, "rank")
     z = beta * (F.col("a") - F.col("b"))
     return pairs.withColumn("loss", -log_sigmoid(z) * (1 - smoothing) - log_sigmoid(-z) * smoothing)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.shape import quantiles
+from tessera.operators.shape import quantiles, small
 
 
 def long_form(df: DataFrame, stats: dict[str, dict[str, Column]], key: str = "col") -> DataFrame:
@@ -17,6 +17,10 @@ def long_form(df: DataFrame, stats: dict[str, dict[str, Column]], key: str = "co
 
 def _with_quantiles(df: DataFrame, cols: list[str], qs: dict[str, float], rest: DataFrame) -> DataFrame:
     """``rest``, a row per column named in ``col``, with the exact quantiles of each; the values of all columns are counted in one pass."""
+    if small(df.select(*cols)):
+        flat = df.agg(*[F.percentile(c, F.array(*[F.lit(float(x)) for x in qs.values()])).alias(c) for c in cols])
+        q = flat.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("q")) for c in cols])).alias("x")).select("x.*")
+        return rest.join(F.broadcast(q), "col").select(*rest.columns, *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(qs)])
     values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.*")
     q = quantiles(values, "v", list(qs.values()), "col")
     return rest.join(q, "col", "left").select(*rest.columns, *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(qs)])

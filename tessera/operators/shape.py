@@ -8,8 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Pieces that a column is dealt into.
-PIECES = 128
+#: Even pieces that a column is dealt into, by sampled bounds, and the parts that each is cut into by width.
+PIECES, PARTS = 24, 64
+#: How far from a wanted quantile the rows are that are sorted for it, as a share of all, and the accuracy of sampled bounds.
+NEAR, ACCURACY = 0.002, 10_000
+#: Rows that one task may sort, and bytes, by the optimizer's estimate, of a relation whose values one task may hold.
+SORTED, SMALL = 1 << 16, 32 << 20
+
+
+def small(df: DataFrame) -> bool:
+    """Whether the optimizer is sure that a relation is small; of joins and unknown sources it isn't."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
 
 
 def impute_group_median(df: DataFrame, value: str, keys: list[str], bad: Column, donor: Column, out: str) -> DataFrame:
@@ -38,7 +47,7 @@ def label_encode(df: DataFrame, c: str, out: str, prefix: int = 3) -> DataFrame:
     if isinstance(df.schema[c].dataType, StringType):
         ranks = global_rank(kinds, F.substring(c, 1, prefix), [c], "__rank")
     else:
-        ranks = global_rank(*with_pieces(kinds, c), [c], "__rank").drop("__cuts")
+        ranks = global_rank(*with_pieces(kinds, c), [c], "__rank")
     return df.join(ranks.select(c, (F.col("__rank") - 1).cast("int").alias(out)), c, "left")
 
 
@@ -66,9 +75,13 @@ def standardise(df: DataFrame, c: str, out: str) -> DataFrame:
 
 
 def with_pieces(df: DataFrame, c: str) -> tuple[DataFrame, Column]:
-    """The rows with ``__cuts``, sampled bounds that deal the values of a number or time into ``PIECES`` even pieces, and the piece of each row."""
-    cuts = df.agg(F.percentile_approx(c, [k / PIECES for k in range(1, PIECES)], 10_000).alias("__cuts"))  # one row
-    return df.crossJoin(F.broadcast(cuts)), F.size(F.filter("__cuts", lambda x: x < F.col(c)))
+    """The rows with columns that tell their piece, and the piece: it grows with the values of a number, and values are dealt evenly."""
+    inner = F.percentile_approx(F.col(c).cast("double"), [k / PIECES for k in range(1, PIECES)], ACCURACY)
+    cuts = df.agg(F.concat(F.array(F.min(c).cast("double")), inner, F.array(F.max(c).cast("double"))).alias("__cuts"))  # one row
+    rows = df.crossJoin(F.broadcast(cuts)).withColumn("__at", F.size(F.filter(F.slice("__cuts", 2, PIECES - 1), lambda x: x < F.col(c))))
+    low, high = F.get("__cuts", F.col("__at")), F.get("__cuts", F.col("__at") + 1)
+    part = F.floor(F.coalesce(F.try_divide((F.col(c) - low) * PARTS, high - low), F.lit(0.0)))
+    return rows, F.col("__at") * PARTS + F.least(F.greatest(part, F.lit(0)), F.lit(PARTS - 1))
 
 
 def running_sums(df: DataFrame, coarse: Column, order: str, sums: list[str]) -> DataFrame:
@@ -82,15 +95,17 @@ def running_sums(df: DataFrame, coarse: Column, order: str, sums: list[str]) ->
     return rows.select(*df.columns, *[(F.coalesce(F.col(f"__own_{c}"), F.lit(0)) + F.col(f"__to_{c}")).alias(f"run_{c}") for c in sums])
 
 
-def at_ranks(df: DataFrame, c: str, ranks, *keys: str, **also: Column) -> DataFrame:
+def at_ranks(df: DataFrame, c: str, ranks, near: list[float], *keys: str, **also: Column) -> DataFrame:
     """Order statistics per group without a task that holds a column: rows (keys, n, found), found an array of the structs (at, value, before).
 
-    ranks(n): array of ranks from 0, as longs, for a group of ``n`` values, which may read the aggregates ``also``; before: values that are less.  Values are counted, the counts dealt into even
-    pieces by sampled bounds, and only the pieces that hold a wanted rank are sorted.  Nulls don't count.
+    ranks(n): array of ranks from 0, as longs, for a group of ``n`` values, which may read the aggregates ``also``; near: the quantiles about which the ranks
+    are; before: values that are less.  Values are counted, the counts cut a little below and above those quantiles, and only the pieces that hold a wanted rank
+    are sorted; a rank that is elsewhere is found all the same.  Nulls don't count.
     """
     rows = df.where(F.col(c).isNotNull()).withColumn("__v", F.col(c))
     counts = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("__v", [k / PIECES for k in range(1, PIECES)], 10_000).alias("__cuts"), *[a.alias(name) for name, a in also.items()])
+    cuts = sorted({min(max(q + d, 0.0), 1.0) for q in near for d in (-NEAR, NEAR)})
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("__v", cuts, ACCURACY).alias("__cuts"), *[a.alias(name) for name, a in also.items()])
     both = counts.join(groups, list(keys)) if keys else counts.crossJoin(F.broadcast(groups))
     both = both.select(*keys, "__v", "__n", F.size(F.filter("__cuts", lambda x: x < F.col("__v"))).alias("__piece"))
     up = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,9 +122,11 @@ def at_ranks(df: DataFrame, c: str, ranks, *keys: str, **also: Column) -> DataFr
 
 def quantiles(df: DataFrame, c: str, qs: list[float], *keys: str) -> DataFrame:
     """Rows (keys, q): the exact quantiles of each group, interpolated, as an array; a null one where no value is there (ungrouped only)."""
+    if small(df.select(*keys, c)):
+        return df.where(F.col(c).isNotNull()).groupBy(*keys).agg(F.percentile(c, F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
     place = lambda n, q: F.lit(float(q)) * (n - 1)
     ranks = lambda n: F.array(*[f(place(n, q)).cast("bigint") for q in qs for f in (F.floor, F.ceil)])
-    got = at_ranks(df, c, ranks, *keys)
+    got = at_ranks(df, c, ranks, qs, *keys)
     v = lambda i: F.get("found", F.lit(i))["value"].cast("double")
     between = [v(2 * i) + (v(2 * i + 1) - v(2 * i)) * (place(F.col("n"), q) - F.floor(place(F.col("n"), q))) for i, q in enumerate(qs)]
     return got.select(*keys, F.when(F.col("n").isNotNull(), F.array(*between)).alias("q"))
@@ -123,6 +140,13 @@ def ranked_values(df: DataFrame, c: str) -> DataFrame:
     return out.select(c, "n", (F.col("run_n") - F.col("n") + 1).alias("rank"))
 
 
+def value_ranks(df: DataFrame, c: str) -> DataFrame:
+    """Rows (c, rank): every row's value of a number with its rank from 1; nulls have none."""
+    if small(df):
+        return df.where(F.col(c).isNotNull()).select(c, F.row_number().over(Window.orderBy(c)).cast("bigint").alias("rank"))
+    return spread(ranked_values(df, c), c)
+
+
 def spread(ranked: DataFrame, c: str, chunk: int = 1 << 16) -> DataFrame:
     """A row (c, rank) for each row that ``ranked_values`` counted; a frequent value goes to many tasks, ``chunk`` rows at a time."""
     parts = ranked.select(c, "n", "rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {chunk}"))).alias("__part"))

@@ -60,18 +60,25 @@ def chrono_split_80(s, d):
     Nothing is sorted as a whole: the rows at the two ranks are found by time, then by number among the rows of that time, and every row is compared with them.
     """
     e = table(s, d, "events").select("event_id", "ts")
+    if H.small(e):
+        w = Window.orderBy("ts", "event_id")
+        cut = F.ceil(F.count("*").over(Window.partitionBy()) * 0.8)
+        return e.withColumn("rn", F.row_number().over(w)).select("event_id", F.when(F.col("rn") <= cut, "train").otherwise("test").alias("part"), (F.col("rn") > cut - 60).alias("test_window"))
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     last = lambda n: (F.ceil(n * 0.8) - 1).cast("bigint")  # noqa: E731  ranks from 0: of the last training row, and of the last row before the test windows
-    times = H.at_ranks(e.select(micros.alias("t")), "t", lambda n: F.array(last(n), F.greatest(last(n) - 60, F.lit(0).cast("bigint"))))
-    ends = times.select((last(F.col("n")) < 60).alias("short"), *[F.col("found")[i][f].alias(f"{f}{i}") for i in (0, 1) for f in ("value", "before")], *[F.greatest(last(F.col("n")) - 60 * i, F.lit(0)).alias(f"rank{i}") for i in (0, 1)])
-    out = e.crossJoin(F.broadcast(ends))
+    times = H.at_ranks(e.select(micros.alias("t")), "t", lambda n: F.array(last(n), F.greatest(last(n) - 60, F.lit(0).cast("bigint"))), [0.8])
+    found = times.select(last(F.col("n")).alias("last"), "found").first()  # two numbers of microseconds
     later = []
-    for i in (0, 1):
-        same = e.crossJoin(F.broadcast(ends)).where(micros == F.col(f"value{i}"))
-        own = H.at_ranks(same, "event_id", lambda n: F.array("left"), left=F.first(F.col(f"rank{i}") - F.col(f"before{i}")))
-        out = out.crossJoin(F.broadcast(own.select(F.col("found")[0]["value"].alias(f"id{i}"))))
-        later.append((micros > F.col(f"value{i}")) | ((micros == F.col(f"value{i}")) & (F.col("event_id") > F.col(f"id{i}"))))
-    return out.select("event_id", F.when(later[0], "test").otherwise("train").alias("part"), (later[1] | F.col("short")).alias("test_window"))
+    for place in found["found"] or ():
+        left = max(found["last"] - 60 * place["at"], 0) - place["before"]
+        same = e.where(micros == place["value"]).select("event_id")
+        if left < H.SORTED:  # each task keeps so many rows at most
+            number = same.orderBy("event_id").limit(left + 1).agg(F.max("event_id")).first()[0]
+        else:
+            number = H.at_ranks(same, "event_id", lambda n, left=left: F.array(F.lit(left)), [k / 16 for k in range(17)]).first()["found"][0]["value"]
+        later.append((micros > place["value"]) | ((micros == place["value"]) & (F.col("event_id") > number)))
+    later += [F.lit(False)] * (2 - len(later))
+    return e.select("event_id", F.when(later[0], "test").otherwise("train").alias("part"), (later[1] | F.lit((found["last"] or 0) < 60)).alias("test_window"))
 
 
 @query("WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT event_id, round((value - lo) / (hi - lo), 6) AS scaled, round((value - lo) / (hi - lo) * (hi - lo) + lo, 6) AS back FROM events, e")

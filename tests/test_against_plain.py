@@ -173,11 +173,24 @@ def test_nearest_in_blocks(spark, monkeypatch, blocks):
     assert M.nearest(rows.limit(0), rows, 3, "vec_id", "embedding").count() == 0 and M.nearest(rows, rows.limit(0), 3, "vec_id", "embedding").count() == 0
 
 
-# order statistics
+# order statistics, by the plans for relations of any size
+
+
+@pytest.fixture
+def any_size(monkeypatch):
+    monkeypatch.setattr(H, "SMALL", -1)
+    monkeypatch.setattr(H, "SORTED", 2)
+
+
+@pytest.mark.parametrize("name", ["describe_exact", "profile_numeric", "boxplot_summary", "boxplot_outliers", "median_fill", "conditional_aggregates", "high_entropy_mask", "chrono_split_80", "dpo_aot", "dpo_aot_pair", "label_encode", "running_moments"])
+def test_queries_at_any_size(spark, any_size, name):
+    from tests.test_library import test_same_as_sql
+
+    test_same_as_sql(spark, name)
 
 
 @pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [3.0] * 50 + [1.0], list(range(700)), [None, None], []])
-def test_quantiles(spark, values):
+def test_quantiles(spark, any_size, values):
     df = spark.createDataFrame([(v if v is None else float(v),) for v in values], "v double").repartition(3)
     qs = [0.0, 0.25, 0.5, 0.9, 1.0]
     got = H.quantiles(df, "v", qs).collect()
@@ -185,7 +198,7 @@ def test_quantiles(spark, values):
     assert len(got) == 1 and got[0].q == (pytest.approx([float(np.quantile(known, q)) for q in qs]) if known else None)
 
 
-def test_quantiles_of_groups(spark):
+def test_quantiles_of_groups(spark, any_size):
     df = spark.createDataFrame([(k % 3 or None, float(k * 37 % 101)) for k in range(300)], "g int, v double")
     got = {r.g: r.q for r in H.quantiles(df.where("g IS NOT NULL"), "v", [0.5, 0.8], "g").collect()}
     assert got == {g: pytest.approx([float(np.quantile([k * 37 % 101 for k in range(300) if k % 3 == g], q)) for q in (0.5, 0.8)]) for g in (1, 2)}
@@ -194,6 +207,7 @@ def test_quantiles_of_groups(spark):
 def test_ranks_of_equal_values_spread_over_tasks(spark):
     values = [7.0] * 500 + [float(v) for v in range(100)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.v for r in H.value_ranks(df, "v").orderBy("rank").collect()] == sorted(values)
     rows = H.spread(H.ranked_values(df, "v"), "v", chunk=64).orderBy("rank").collect()
     assert [r.v for r in rows] == sorted(values) and [r.rank for r in rows] == list(range(1, 601))
 

@@ -312,3 +312,17 @@ def stage(spark, docs: DataFrame, items: DataFrame) -> DataFrame:
     text = F.col(names[docs.columns.index("text")]).cast("string")
     kept = keyed.withColumn("mark", F.hash(text, F.col("key"))).join(bad.hint("merge"), ["key", "mark"], "left_anti")
     return kept.select(*names).toDF(*docs.columns)
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH docs AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents
+), items AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark
+), wins AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[i : i + least(len(w), {WINDOW}) - 1], ' ') AS g FROM items, range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1) r(i) WHERE len(w) > 0
+), grams AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM docs, (SELECT DISTINCT n FROM wins) s, range(1, len(w) - n + 2) r(i)
+), hits AS (SELECT doc_id, i, n, item_id FROM grams JOIN wins USING (n, g)
+), places AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hits, range(0, n) k(j) GROUP BY 1
+), named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::varchar AS s FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

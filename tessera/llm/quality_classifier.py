@@ -5,7 +5,8 @@ summed map-side over all training rows, so fitting needs one pass and no sample.
 shrunk towards the pooled one and its diagonal; its Cholesky factor is computed once and sent with the
 scorer, which takes Mahalanobis log-density differences.
 
-Defined results: a null or empty text has the statistics of no words and is scored; a null id counts as held out and
+Defined results: a null or empty text has the statistics of no words and is scored, a very long one has those of all its words; equal
+texts score equally; other columns are ignored, whatever their names; a null id counts as held out and
 meets no label; rows that repeat an id are scored each, and each counts in training if labelled; labels other
 than 0 and 1 are ignored; with a class missing from training the score is the share of the other (0.5 without any).
 """

@@ -25,6 +25,7 @@ MIN_WORDS, MAX_REPEAT_SHARE, MAX_LOST_SHARE = 50, 0.5, 0.5
 # The characters that the contract counts as symbols, and the white space of its words.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: Prose has one of these somewhere in a line, even where its end was cut.
 MARKS = ".!?…:;,。！？।؟、，"
@@ -40,7 +41,7 @@ SYMBOL_WORD = re.compile(r"[#*$%&|<>]{2,}|^[#*$%&|<>]+$")
 
 def line_fault(line: str, phrases: re.Pattern = BOILERPLATE) -> str | None:
     """Why a line goes, or None.  Blank lines stay."""
-    w = line.split()
+    w = WORDS.findall(line)
     n = len(w)
     if not n:
         return None
@@ -138,3 +139,27 @@ def stage(spark, docs: DataFrame, phrases: re.Pattern = BOILERPLATE) -> DataFram
     if "n_chars" in others:
         new["n_chars"] = F.length("cleaned").cast(docs.schema["n_chars"].dataType)
     return _assessed(docs, "text", tuple(others), True, phrases).where("kept").select(*[new[c].alias(c) for c in docs.columns])
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS.pattern}') AS w FROM documents
+), x AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d
+), l AS (SELECT doc_id, line, regexp_extract_all(line, '{WORDS.pattern}') AS w FROM x
+), m AS (
+  SELECT *, len(w) AS n, len(list_filter(w, lambda x: x IN ({", ".join(f"'{s}'" for s in sorted(SEPARATORS))}))) AS seps, len(list_filter(w, lambda x: regexp_matches(x, '{SYMBOL_WORD.pattern}'))) AS noisy,
+    length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) AS upper, len(list_filter(w, lambda x: x = list_aggregate(w, 'mode'))) AS often
+  FROM l WHERE len(w) > 0
+), f AS (
+  SELECT *, n <= 30 AND regexp_matches(line, '(?i){BOILERPLATE.pattern}') OR n >= 3 AND seps * 5 >= n OR n >= 3 AND noisy * 10 > 3 * n OR n >= 5 AND letters > 0 AND upper * 10 > 7 * letters
+    OR n >= 8 AND often * 2 > n OR n >= 3 AND NOT regexp_matches(line, '[{MARKS}]') AS fault FROM m
+), g AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(n) FILTER (fault), 0) AS lost FROM f GROUP BY 1
+), v AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS three FROM d, range(1, len(w) - 1) r(i)
+), twice AS (SELECT doc_id, three FROM v GROUP BY 1, 2 HAVING count(*) > 1
+), r AS (SELECT doc_id, count(DISTINCT i + j) AS repeats FROM v JOIN twice USING (doc_id, three), range(3) k(j) GROUP BY 1
+), b AS (
+  SELECT doc_id, len(w)::bigint AS n_words, list_sum(list_transform(w, lambda x: length(x)))::bigint AS word_chars, length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g'))::bigint AS n_symbols, coalesce(dup, 0)::bigint AS n_dup_lines,
+    coalesce(repeats, 0)::bigint AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN g USING (doc_id) LEFT JOIN r USING (doc_id)
+), c AS (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words > {MAX_REPEAT_SHARE} * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= {MAX_LOST_SHARE} * n_words AS kept FROM c
+"""

@@ -59,4 +59,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL}
+    return {"op1_decontaminate": decontam.SQL, "op2_mix": mixing.SQL, "op3_line_dedup": line_dedup.SQL, "op6_quality_rules": quality_rules.SQL}

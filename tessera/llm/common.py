@@ -17,7 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Settings inside a block: bytes and rows of an Arrow batch, and rows of a batch read from Parquet.
 SHORT = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.parquet.columnarReaderBatchSize": "1024"}
 #: Row groups are small, since a writer holds one and a reader's batch never spans two; long rows are looked at one by one.
-WRITTEN = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "8", "parquet.page.size.row.check.max": "256"}
+#: On file:// folders no checksum files stand beside them: for each, a JVM without Hadoop's native library starts a process of its own.
+WRITTEN = {
+    "compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "8", "parquet.page.size.row.check.max": "256",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,6 +109,10 @@ class Scratch:
     def drop(self, name: str) -> None:
         remove(self.spark, f"{self.root}/{name}")
 
+    def few(self, df: DataFrame, rows: int) -> bool:
+        """Whether a table has at most so many rows, which then may be broadcast."""
+        return df.limit(rows + 1).count() <= rows
+
     def result(self, df: DataFrame, name: str = "result") -> DataFrame:
         path = f"{self.root}-{name}"
         if self.around is not None:
@@ -115,6 +123,7 @@ class Scratch:
 
     def _written(self, df: DataFrame, path: str, options: dict) -> DataFrame:
         df.write.mode("overwrite").options(**(WRITTEN | options)).parquet(path)
+        self.spark._jvm.System.gc()  # shuffle files go when the driver's JVM finds that their plan is garbage, which may else be never
         return self.spark.read.schema(df.schema).parquet(path)
 
 

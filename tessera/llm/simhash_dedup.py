@@ -12,7 +12,7 @@ pairs.  Components meet in rounds of min-label propagation with label jumping, e
 shared folder.
 
 Defined results: a null, empty or blank text has no shingle and fingerprint zero, linked like any
-other; fewer words than a shingle give the whole sequence as one shingle; repeated rows share a
+other; a very long text is hashed whole; fewer words than a shingle give the whole sequence as one shingle; repeated rows share a
 fingerprint and component; a null id gets a component like any other but never names one unless all
 ids of the component are null; other columns are ignored.
 """
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
         # the label is a pair so that a null id, which sorts first, loses against every other
         nodes = scratch.table(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("lead")), "nodes")
         edges = scratch.table(links(nodes.select("fp"), radius, hot=hot), "links")
-        found = components(nodes, edges, scratch)
+        found = scratch.table(components(nodes, edges, scratch), "found")  # written, so that a fingerprint of very many documents can be split
         return scratch.result(prints.join(found, "fp").select("doc_id", "fp", F.col("lead.doc_id").alias("component_id")))
 
 
@@ -247,23 +247,25 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def stage(spark, docs: DataFrame, hot: int = near_copies.HOT, rounds: int = near_copies.ROUNDS) -> DataFrame:
+def stage(spark, docs: DataFrame, hot: int = near_copies.HOT, rounds: int = near_copies.ROUNDS, sent: int = near_copies.SENT) -> DataFrame:
     """Keeps the document of smallest id of each component of near copies; of rows that repeat that id, the one whose text digest is smallest.
 
     Near copies share 0.8 or more of their five-word shingles, which 64 bits do not tell; ``near_copies`` finds them exactly.
     """
-    cols = docs.columns
-    key = F.xxhash64("doc_id", "text")
-    lead = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("bigint").alias("id"), key.alias("key"))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of the input clashes
+    ident, text = F.col(names[docs.columns.index("doc_id")]).cast("bigint"), F.col(names[docs.columns.index("text")]).cast("string")
+    named = docs.toDF(*names).withColumns({"key": F.xxhash64(ident, text), "mark": F.hash(text, ident)})
     with Scratch(spark) as scratch:
-        rows = docs.select(key.alias("key"), lead.alias("lead"), F.col("text").cast("string").alias("text"))
-        own = scratch.table(near_copies.sets(rows), "sets").withColumn("row", F.col("_metadata.row_index")).withColumn("file", F.col("_metadata.file_name"))
-        # written first, so that a small one is sent to the sets instead of shuffling them
-        first = scratch.table(own.groupBy("d1", "d2").agg(F.min(F.struct("lead", "file", "row")).alias("best")).select("best.file", "best.row"), "first")
-        nodes = scratch.table(own.join(first, ["file", "row"], "left_semi").select("key", "lead", "grams", "parity", "wide"), "nodes")
-        scratch.drop("sets")
-        edges = scratch.table(near_copies.links(nodes, scratch, hot, rounds), "links")
-        found = components(nodes.select(F.col("key").alias("fp"), "lead"), edges, scratch)
-        kept = scratch.result(found.where("lead.key = fp").select(F.col("fp").alias("__key")), "kept")
-    out = docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key"])
-    return out.select(*cols)
+        lead = F.struct(ident.isNull().alias("none"), ident.alias("id"), "key", "mark").alias("lead")
+        # of equal texts one is compared, the others never leave their task but for their digests
+        first = named.select(lead, F.xxhash64(text).alias("d1"), F.hash(text, F.lit(1)).alias("d2")).groupBy("d1", "d2").agg(F.min("lead").alias("lead"))
+        first = scratch.table(first.select("lead.key", "lead.mark"), "first")
+        rows = named.select("key", "mark", lead, text.alias("text")).dropDuplicates(["key", "mark"]).join(first.hint("merge"), ["key", "mark"], "left_semi")
+        nodes = near_copies.sets(rows).select(F.monotonically_increasing_id().alias("key"), "*")
+        nodes = scratch.table(nodes, "nodes")  # the numbers stand once they are written
+        edges = scratch.table(near_copies.links(nodes, scratch, hot, rounds, sent), "links")
+        found = components(nodes.select(F.col("key").alias("fp"), "lead"), edges, scratch).withColumnRenamed("lead", "least")
+        kept = nodes.select(F.col("key").alias("fp"), "lead").join(found, "fp").where("lead = least")
+        kept = scratch.result(kept.select("lead.key", "lead.mark"), "kept")
+    out = named.join(kept, ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"])
+    return out.select(*names).toDF(*docs.columns)

@@ -393,8 +393,8 @@ def test_descending_chain_is_one_component(spark):
         assert sum("/labels-" in path for path in s.made) < 30
 
 
-@pytest.mark.parametrize("hot, rounds", [(128, 8), (3, 8), (3, 1)])
-def test_near_copies_of_four_fifths_leave(spark, empty, hot, rounds):
+@pytest.mark.parametrize("hot, rounds, sent", [(128, 8, 1000), (3, 8, 1 << 20), (3, 1, 0)])
+def test_near_copies_of_four_fifths_leave(spark, empty, hot, rounds, sent):
     import random
 
     draw, rows = random.Random(4), [(None, "a b c"), (900, "A  b c"), (901, ""), (902, None), (None, "x y z")]
@@ -416,13 +416,11 @@ def test_near_copies_of_four_fifths_leave(spark, empty, hot, rounds):
             root[a] = root[b] = min(root[a], root[b])
     order = lambda k: (rows[k][0] is None, rows[k][0] or 0)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    kept = simhash_dedup.stage(spark, docs, hot, rounds)
+    kept = simhash_dedup.stage(spark, docs, hot, rounds, sent)
     got = bag((r.doc_id, r.text) for r in kept.collect())
     at = [k for k in range(len(rows)) if (rows[k][0], rows[k][1]) in got]
-    assert len(at) == sum(got.values()) and not any(a in at and b in at for a, b in near)  # none of two that stay are copies
-    assert {root[k] for k in at} == set(root)  # no component goes as a whole
-    if hot == 128:
-        assert sorted(at) == sorted(min((k for k in range(len(rows)) if root[k] == r), key=order) for r in set(root))
+    assert len(at) == sum(got.values())
+    assert sorted(at) == sorted(min((k for k in range(len(rows)) if root[k] == r), key=order) for r in set(root))
     assert any(4 * len(sets[a] | sets[b]) <= 5 * len(sets[a] & sets[b]) < 4.5 * len(sets[a] | sets[b]) for a, b in near)
 
 

@@ -168,7 +168,9 @@ def totals(docs: DataFrame, path: str = TOKENIZER, whole: bool = False) -> DataF
         rollup.commit("0001-load", changes(counted, "insert", versions))
         # of equal texts the smallest id stays (nulls last); rows that repeat both count as often as they stand
         first = counted.groupBy("digest", "mark").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        both = counted.join(first.select("digest", "mark", F.col("first.doc_id").alias("first"), F.lit(True).alias("several")), ["digest", "mark"], "left")
+        # written, so that a text of very many copies can be split
+        first = scratch.table(first.select("digest", "mark", F.col("first.doc_id").alias("first"), F.lit(True).alias("several")), "first")
+        both = counted.join(first, ["digest", "mark"], "left")
         copy = F.col("several").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first"))
         rollup.commit("0002-copies", changes(both.where(copy), "delete", versions))
         rollup.commit("0003-end-of-text", changes(both.where(~copy).withColumn("ended", F.col("bpe") + 1), "revise", {"bpe-1": "ended"}, {"bpe-1": "bpe"}))

@@ -122,7 +122,8 @@ def mix(docs: DataFrame, scratch: Scratch, carry: list[str], seed: int = SEED, w
     goal = goal.join(measured.groupBy("none", "name", "__class").agg(F.count("*").alias("n")), ["none", "name"])
     goal = write(goal.select("none", "name", "__class", "source_size", "target", "__expected", F.ceil(F.col("n") / ROWS).alias("__buckets")), "goal")
     source, bucket, order = ["none", "name"], ["__class", "__bucket"], ["size", "__id", "__tie"]
-    sent = lambda df: F.broadcast(df) if scratch.few(df, SENT) else df  # noqa: E731  a row for each source, or for each of its size classes
+    few = scratch.few(goal, SENT)  # a row for each size class of a source; tables with a row for each source are shorter
+    sent = lambda df: F.broadcast(df) if few else df
     dealt = lambda df: df.join(sent(goal), [*source, "__class"]).withColumn("__bucket", F.pmod("__draw", "__buckets").cast("int"))
     narrow = places(dealt(measured).select(*source, *bucket, *order, "__expected", "target"), source, bucket, "__expected", order)
     offsets = [F.pmod(draw(seed, F.lit(k), F.when(~F.col("none"), F.col("name"))), F.lit(1 << BITS)) for k in range(DRAWS)]

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.objectives import log_sigmoid
-from tessera.operators.shape import running_sums, value_ranks
+from tessera.operators.shape import paired_by_rank, running_sums, small, value_ranks
 
 
 def rank_paired(df: DataFrame, left: Column, right: Column, beta: float = 0.1, smoothing: float = 0.0, within: list[str] | None = None) -> DataFrame:
     """Both sides sorted by themselves and paired by rank, with the sigmoid loss of each pair's difference.
 
-    Values are counted and the counts ranked in even pieces, so no task sorts all rows and a frequent value is spread over many; ``within`` pairs inside
-    batches instead.  Nulls have no rank.
+    Values are counted, the counts ranked in even pieces and paired as runs, so no task sorts all rows and no side is sent to all tasks; ``within`` pairs
+    inside batches instead.  Nulls have no rank.
     """
     if within:
         w = Window.partitionBy(*within)
@@ -21,8 +21,11 @@ def rank_paired(df: DataFrame, left: Column, right: Column, beta: float = 0.1, s
         b = df.select(*within, right.alias("b")).withColumn("rank", F.row_number().over(w.orderBy("b")))
         pairs = a.join(b, [*within, "rank"])
     else:
-        a, b = value_ranks(df.select(left.alias("a")), "a"), value_ranks(df.select(right.alias("b")), "b")
-        pairs = a.join(b, "rank")
+        both = df.select(left.alias("a"), right.alias("b"))
+        if small(both):
+            pairs = value_ranks(both.select("a"), "a").hint("merge").join(value_ranks(both.select("b"), "b"), "rank")
+        else:
+            pairs = paired_by_rank(both, "a", "b")
     z = beta * (F.col("a") - F.col("b"))
     return pairs.withColumn("loss", -log_sigmoid(z) * (1 - smoothing) - log_sigmoid(-z) * smoothing)
 

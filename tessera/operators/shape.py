@@ -17,8 +17,13 @@ SORTED, SMALL = 1 << 16, 32 << 20
 
 
 def small(df: DataFrame) -> bool:
-    """Whether the optimizer is sure that a relation is small; of joins and unknown sources it isn't."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
+    """Whether the optimizer is sure that a relation is small; of joins and unknown sources it isn't.
+
+    Its sources have to be small too: a few columns of a large table look small where the files are compressed.
+    """
+    plan, of = df._jdf.queryExecution().optimizedPlan(), lambda p: int(str(p.stats().sizeInBytes()))
+    leaves = plan.collectLeaves()
+    return of(plan) <= SMALL and sum(of(leaves.apply(i)) for i in range(leaves.size())) <= SMALL
 
 
 def impute_group_median(df: DataFrame, value: str, keys: list[str], bad: Column, donor: Column, out: str) -> DataFrame:
@@ -154,6 +159,31 @@ def spread(ranked: DataFrame, c: str, chunk: int = 1 << 16) -> DataFrame:
     return parts.repartition("__lo").select(c, F.explode(F.sequence(F.col("__lo"), F.col("__lo") + F.col("__len") - 1)).alias("rank"))
 
 
+def paired_by_rank(df: DataFrame, left: str, right: str, block: int = 1 << 16) -> DataFrame:
+    """Rows (rank, left, right): both columns of numbers sorted by themselves and put side by side; nulls have no rank.
+
+    Runs of equal values are paired, not rows: they are cut at every ``block`` ranks, those of a block meet in a task, and a pair of runs becomes rows where it
+    is read.  The blocks have a fixed number of partitions: by their bytes the optimizer would take them, and what comes of them, for small.
+    """
+
+    def runs(c: str, names: list[str]) -> DataFrame:
+        r = ranked_values(df.select(c), c).withColumn("__last", F.col("rank") + F.col("n") - 1)
+        r = r.select(c, "rank", "__last", F.explode(F.sequence(F.expr(f"(rank - 1) div {block}"), F.expr(f"(__last - 1) div {block}"))).alias("__block"))
+        run = F.struct(F.col(c).alias("v"), F.least("__last", (F.col("__block") + 1) * block).alias("end"))
+        return r.select("__block", F.greatest("rank", F.col("__block") * block + 1).alias("__lo"), *[(run if x == c else F.lit(None)).alias(x) for x in names])
+
+    names = [left, right]
+    both = runs(left, names).unionByName(runs(right, names))
+    both = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__block")
+    both = both.groupBy("__block", "__lo").agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
+    w = Window.partitionBy("__block").orderBy("__lo")
+    now = [F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in names]
+    both = both.select("__lo", *now, F.lead("__lo").over(w).alias("__next"))
+    hi = F.least(F.col("__next") - 1, F.col(left)["end"], F.col(right)["end"])
+    both = both.where(F.col(left).isNotNull() & F.col(right).isNotNull()).withColumn("__hi", hi).where("__lo <= __hi")
+    return both.select(F.explode(F.sequence("__lo", "__hi")).alias("rank"), *[F.col(c)["v"].alias(c) for c in names])
+
+
 def global_rank(df: DataFrame, coarse: Column, order: list, out: str) -> DataFrame:
     """Row numbers from 1 over all rows without one task for all: ``coarse`` grows with the order and cuts it into pieces.
 

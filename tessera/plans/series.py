@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
@@ -30,10 +30,22 @@ def rolling_mean_10_20_50(s, d):
     return _daily(s, d).select("sym", "day", *[F.round(rolling_mean("px", n, w), 4).alias(f"ma{n}") for n in (10, 20, 50)])
 
 
+def change(value: Column, before: Column, digits: int = 6) -> Column:
+    """``value / before - 1``, rounded, with the floating-point results of SQL.
+
+    Division by zero is infinite or NaN (Spark's own gives null); what is rounded is the product with the power of ten, as SQL engines do (Spark's own rounds the
+    shortest decimal, which differs near ties).
+    """
+    x = F.when(before == 0, value * F.pow(before, F.lit(-1.0))).otherwise(F.try_divide(value, before)) - 1
+    scaled = x * 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**digits).otherwise(x)
+
+
 @query("SELECT event_id, round(value / lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1, 6) AS change FROM events")
 def pct_change(s, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(s, d, "events").select("event_id", F.round(F.try_divide(F.col("value"), F.lag("value").over(w)) - 1, 6).alias("change"))
+    rows = table(s, d, "events").select("event_id", "value", F.lag("value").over(w).alias("before"))
+    return rows.select("event_id", change(F.col("value"), F.col("before")).alias("change"))
 
 
 @query("WITH f AS (SELECT *, last_value(CASE WHEN value > 20 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM events) SELECT event_id, round(v / lag(v) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1, 6) AS change FROM f")
@@ -41,8 +53,8 @@ def pct_change_filled(s, d):
     """Missing values (here those up to 20) take the last one before; the change is from row to row."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     seen = F.last(F.when(F.col("value") > 20, F.col("value")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = table(s, d, "events").withColumn("v", seen)
-    return rows.select("event_id", F.round(F.try_divide(F.col("v"), F.lag("v").over(w)) - 1, 6).alias("change"))
+    rows = table(s, d, "events").withColumn("v", seen).select("event_id", "v", F.lag("v").over(w).alias("before"))
+    return rows.select("event_id", change(F.col("v"), F.col("before")).alias("change"))
 
 
 @query("WITH " + _DAILY + " SELECT sym, day, round(sum(px) OVER w, 2) AS window_sum, round(px, 4) AS label FROM daily WINDOW w AS (PARTITION BY sym ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER w = 60")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tessera.functions import arrays as A
 from tessera.operators import models as M
 from tessera.operators import shape as H
 from tessera.operators import udfs as U
+from tessera.operators.preferences import rank_paired
 from tessera.sources import sinks
 from tessera.sources import tables as T
 
@@ -303,3 +305,43 @@ def test_byte_level_tokens_round_trip(spark):
     got = {r.id: r.x for r in df.select("id", U.tokenised(spark, vocabulary, r" ?\S+|\s+")("t").alias("x")).collect()}
     assert [b"".join(merges[k] for k in got[i]).decode() for i in range(4)] == ["the thing is in the ring", "", "", "naïve é"]
     assert got[0][:2] == [257, 32] and 258 in got[0]
+
+
+# sizes and odd values of the second review
+
+
+def broadcast_rows(plan):
+    """Rows of every relation that a finished plan sent to all tasks."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return broadcast_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return broadcast_rows(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if kind == "BroadcastExchangeExec" else []
+    return sum((broadcast_rows(plan.children().apply(i)) for i in range(plan.children().size())), own)
+
+
+def test_frequent_values_are_paired_without_sending_a_side(spark, any_size):
+    df = spark.range(0, 150_000, 1, 3).select((F.col("id") % 3).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    out = rank_paired(df, F.col("x"), F.col("y")).agg(F.count("*").alias("n"), F.sum(F.abs(F.col("a") - F.col("b"))).alias("apart"))
+    row = out.collect()[0]
+    assert row.n == 150_000 and row.apart == np.abs(np.sort(np.arange(150_000) % 3) - np.sort(np.arange(150_000) % 5)).sum()
+    assert max(broadcast_rows(out._jdf.queryExecution().executedPlan()), default=0) <= 1000
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_pairs_by_rank(spark, block):
+    left, right = [2.0, None, 1.0, 1.0, 5.0, 2.0, 1.0, None], [0.5, 0.5, 9.0, -1.0, 0.5, 0.5, 0.5, 3.0]
+    df = spark.createDataFrame(list(zip(left, right)), "l double, r double")
+    got = sorted(map(tuple, H.paired_by_rank(df, "l", "r", block).select("rank", "l", "r").collect()))
+    assert got == [(k + 1, x, y) for k, (x, y) in enumerate(zip(sorted(v for v in left if v is not None), sorted(right)))]
+    assert H.paired_by_rank(df.where("l IS NULL"), "l", "r", block).count() == 0
+
+
+def test_a_narrow_part_of_a_large_table_is_not_small(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "wide")
+    spark.range(2000).select((F.col("id") % 2).alias("x"), *[F.md5(F.concat(F.lit(k), F.col("id").cast("string"))).alias(f"c{k}") for k in range(8)]).write.parquet(path)
+    monkeypatch.setattr(H, "SMALL", 100_000)
+    assert not H.small(spark.read.parquet(path).select("x"))
+    monkeypatch.setattr(H, "SMALL", 32 << 20)
+    assert H.small(spark.read.parquet(path).select("x"))

@@ -345,3 +345,15 @@ def test_a_narrow_part_of_a_large_table_is_not_small(spark, tmp_path, monkeypatc
     assert not H.small(spark.read.parquet(path).select("x"))
     monkeypatch.setattr(H, "SMALL", 32 << 20)
     assert H.small(spark.read.parquet(path).select("x"))
+
+
+@pytest.mark.parametrize("name", ["pct_change", "pct_change_filled"])
+def test_changes_from_zero_and_near_ties(spark, tmp_path, name):
+    values = [0.0, 0.0, 3.5, 0.0, -2.0, None, 1.0, -0.0, 4.0, 6.4, 57.63, 6.4, 0.64, 25.0, 40.0, 7.0]
+    rows = [(k, k // 14, float("nan") if v is None else v) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double").select("*", F.timestamp_seconds("event_id").alias("ts"))
+    df.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    wanted = {e: repr(c) for e, c in con.execute(catalog.oracle_sql()[name]).fetchall()}
+    assert {r.event_id: repr(r.change) for r in catalog.queries()[name](spark, str(tmp_path)).collect()} == wanted

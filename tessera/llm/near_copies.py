@@ -6,7 +6,7 @@ the shingle's group, with the shingle's place in its order.  If it is the first
 they share: a pair that could not be similar then is left to another group, and most sets, whose place is too late for a set as large as
 their own, are never the smaller of a pair at all.  In a group of over ``HOT`` members are first held against one of them, that with the
 earliest place, which differs least from the rest; those similar to it are marked with it, and so on among the unmarked for ``ROUNDS`` rounds.
-Two with one mark are linked through it and need not meet; every other pair does.  A pair whose parities of hashes dealt over 128 bits, and
+Two with one mark are linked through it and need not meet, nor do two that links known before tie to one other; every other pair does.  A pair whose parities of hashes dealt over 128 bits, and
 then over ``BITS``, differ in more bits than the sets may differ in is no copy; every other is verified on the whole sets.  No link between components is lost.
 
 Defined results: equal sets (blank and null texts too) are copies; fewer words than a shingle are one shingle; a very long text is
@@ -15,7 +15,7 @@ one set of all its shingles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -46,21 +46,23 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(w[i : i + SHINGLE]), SEED) for i in range(n)), np.uint64, n).view(np.int64))
 
 
-def sets(rows: DataFrame) -> DataFrame:
-    """Rows (lead, grams, parity, wide) from (lead, text): the shingle hashes and their parities."""
+def sets(rows: DataFrame, fingerprint: Callable[[str | None], int]) -> DataFrame:
+    """Rows (lead, grams, parity, wide, fp) from (lead, text): the shingle hashes, their parities and the text's 64-bit fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t.as_py()) for t in b.column("text")]
+            texts = b.column("text").to_pylist()
+            found = [shingles(t) for t in texts]
+            prints = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), pa.int64())
             ends = np.cumsum([0, *map(len, found)])
             grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64()))
             odd = lambda g, bits: np.packbits((np.bincount(g & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
             parity = pa.array([odd(g, BITS) for g in found], pa.list_(pa.int64()))
             wide = pa.array([odd(g, WIDE) if len(g) > LONG else None for g in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("lead"), grams, parity, wide], names=["lead", "grams", "parity", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column("lead"), grams, parity, wide, prints], names=["lead", "grams", "parity", "wide", "fp"])
 
     lead = rows.schema["lead"].dataType.simpleString()
-    return rows.select("lead", "text").mapInArrow(run, f"lead {lead}, grams array<bigint>, parity array<bigint>, wide array<bigint>")
+    return rows.select("lead", "text").mapInArrow(run, f"lead {lead}, grams array<bigint>, parity array<bigint>, wide array<bigint>, fp bigint")
 
 
 def prefixes(grams: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -126,8 +128,14 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("gram").agg(F.count("*").alias("g")).where("g > 1"), "gram")
 
 
-def links(nodes: DataFrame, scratch: Scratch, hot: int = HOT, rounds: int = ROUNDS, sent: int = SENT) -> DataFrame:
-    """Similar pairs (fp, hub) of nodes (key, grams, parity, wide), which connect every two similar ones."""
+def _marks(linked: DataFrame, own: DataFrame) -> DataFrame:
+    """Rows (key, mark): each end fp of a link with the least hub that it is linked to; a hub, of ``own``, is marked with itself."""
+    new = linked.groupBy(F.col("fp").alias("key")).agg(F.min("hub").alias("mark"))
+    return own.unionAll(new.join(own, "key", "left_anti"))
+
+
+def links(nodes: DataFrame, known: DataFrame, scratch: Scratch, hot: int = HOT, rounds: int = ROUNDS, sent: int = SENT) -> DataFrame:
+    """Similar pairs (fp, hub) of nodes (key, grams, parity, wide), which connect every two similar ones; those already ``known`` are among them."""
     seen = prefixes(nodes, np.zeros(0, np.int64)).groupBy("gram").agg(F.count("*").alias("g")).where(F.col("g") > hot).select("gram")
     late = scratch.table(seen, "late")
     if scratch.few(late, sent):
@@ -137,7 +145,7 @@ def links(nodes: DataFrame, scratch: Scratch, hot: int = HOT, rounds: int = ROUN
     first = scratch.table(first, "prefixes")
     rows = scratch.table(_sized(first), "groups")
     scratch.drop("prefixes")
-    c, edges, marks = F.col, [], None
+    c, edges, marks = F.col, [known], None
     plain = rows.where(c("g") > hot)
     for turn in range(rounds):
         # a set may be the smaller of a pair up to the place from which a set of its own size is out of reach
@@ -149,9 +157,7 @@ def links(nodes: DataFrame, scratch: Scratch, hot: int = HOT, rounds: int = ROUN
             break
         met = plain.select("gram", "key", "n", "p").join(hubs, "gram").where((c("key") != c("first.key")) & fits(c("n"), c("first.n"), c("p"), c("first.p")))
         edges.append(verified(met.select(c("key").alias("fp"), c("first.key").alias("hub")), nodes, scratch, f"covered-{turn}", sent))
-        new = edges[-1].groupBy(c("fp").alias("key")).agg(F.min("hub").alias("mark"))
-        own = hubs.select(c("first.key").alias("key"), c("first.key").alias("mark")).distinct()
-        new = own.unionAll(new.join(own, "key", "left_anti"))  # a hub is marked with itself
+        new = _marks(edges[-1], hubs.select(c("first.key").alias("key"), c("first.key").alias("mark")).distinct())
         new = new if marks is None else marks.unionAll(new.join(marks, "key", "left_anti"))
         marks = scratch.table(new, f"marks-{turn}")
     rows = rows.drop("g")
@@ -160,12 +166,14 @@ def links(nodes: DataFrame, scratch: Scratch, hot: int = HOT, rounds: int = ROUN
     else:
         rows = rows.withColumn("mark", F.lit(None).cast("bigint"))
     fold = lambda k: reduce(lambda x, y: x.bitwiseXOR(y), [F.get("parity", F.lit(i)) for i in range(k, BITS // 64, 2)])  # noqa: E731  the parities of 128 bits
-    rows = scratch.table(rows.join(nodes.select("key", fold(0).alias("u"), fold(1).alias("v")), "key"), "marked")
+    before = _marks(known, known.select(c("hub").alias("key"), c("hub").alias("mark")).distinct()).withColumnRenamed("mark", "before")
+    sides = nodes.select("key", fold(0).alias("u"), fold(1).alias("v")).join(before, "key", "left")
+    rows = scratch.table(rows.join(sides, "key"), "marked")
     scratch.drop("groups")
     one = rows.where((c("n") - c("p") + 1) * (OVER + UNDER) >= c("n") * 2 * OVER)
     two = rows.toDF(*[f"{x}2" for x in rows.columns]).withColumnRenamed("gram2", "gram")
     smaller = (c("n") < c("n2")) | ((c("n") == c("n2")) & (c("key") < c("key2")))
-    apart = ~F.coalesce(c("mark") == c("mark2"), F.lit(False))
+    apart = ~F.coalesce(c("mark") == c("mark2"), F.lit(False)) & ~F.coalesce(c("before") == c("before2"), F.lit(False))
     odd = F.bit_count(c("u").bitwiseXOR(c("u2"))) + F.bit_count(c("v").bitwiseXOR(c("v2")))
     close = odd * (OVER + UNDER) <= (c("n") + c("n2")) * (UNDER - OVER)
     pairs = one.join(two, "gram").where(smaller & apart & fits(c("n"), c("n2"), c("p"), c("p2")) & close)

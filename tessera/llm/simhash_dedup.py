@@ -32,6 +32,8 @@ from tessera.llm import near_copies
 from tessera.llm.common import Scratch
 
 SHINGLE, SEED, RADIUS, BLOCKS, LEVEL_BITS = 3, 42, 2, 4, 4
+#: Differing bits at which the pipeline's stage takes two documents for candidates: they agree on one of four blocks.
+STAGE_RADIUS = 3
 #: Fingerprints of a group from which it is split once more.
 HOT = 1024
 #: (fingerprint, node) pairs that a walk holds at a time.
@@ -247,10 +249,20 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def candidates(nodes: DataFrame, scratch: Scratch, radius: int = STAGE_RADIUS, hot: int = HOT) -> DataFrame:
+    """Pairs (fp, hub) of the keys of nodes (key, fp) to check: nodes of one fingerprint with the first of them, and firsts that the index links."""
+    firsts = scratch.table(nodes.groupBy("fp").agg(F.min("key").alias("first")), "firsts")
+    same = nodes.select("key", "fp").join(firsts, "fp").where("key <> first").select(F.col("key").alias("fp"), F.col("first").alias("hub"))
+    near = scratch.table(links(firsts.select("fp"), radius, hot=hot), "near")
+    ends = near.join(firsts, "fp").join(firsts.toDF("hub", "first_hub"), "hub")
+    return same.unionAll(ends.select(F.col("first").alias("fp"), F.col("first_hub").alias("hub")))
+
+
 def stage(spark, docs: DataFrame, hot: int = near_copies.HOT, rounds: int = near_copies.ROUNDS, sent: int = near_copies.SENT) -> DataFrame:
     """Keeps the document of smallest id of each component of near copies; of rows that repeat that id, the one whose text digest is smallest.
 
-    Near copies share 0.8 or more of their five-word shingles, which 64 bits do not tell; ``near_copies`` finds them exactly.
+    Near copies share 0.8 or more of their five-word shingles.  Fingerprints that the Gray-order index links are checked on the whole sets; two similar sets may
+    differ in more bits than any index can search, and ``near_copies`` adds the links that are left.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of the input clashes
     ident, text = F.col(names[docs.columns.index("doc_id")]).cast("bigint"), F.col(names[docs.columns.index("text")]).cast("string")
@@ -261,9 +273,10 @@ def stage(spark, docs: DataFrame, hot: int = near_copies.HOT, rounds: int = near
         first = named.select(lead, F.xxhash64(text).alias("d1"), F.hash(text, F.lit(1)).alias("d2")).groupBy("d1", "d2").agg(F.min("lead").alias("lead"))
         first = scratch.table(first.select("lead.key", "lead.mark"), "first")
         rows = named.select("key", "mark", lead, text.alias("text")).dropDuplicates(["key", "mark"]).join(first.hint("merge"), ["key", "mark"], "left_semi")
-        nodes = near_copies.sets(rows).select(F.monotonically_increasing_id().alias("key"), "*")
+        nodes = near_copies.sets(rows, fingerprint).select(F.monotonically_increasing_id().alias("key"), "*")
         nodes = scratch.table(nodes, "nodes")  # the numbers stand once they are written
-        edges = scratch.table(near_copies.links(nodes, scratch, hot, rounds, sent), "links")
+        known = near_copies.verified(candidates(nodes, scratch), nodes, scratch, "fingerprinted", sent)
+        edges = scratch.table(near_copies.links(nodes, known, scratch, hot, rounds, sent), "links")
         found = components(nodes.select(F.col("key").alias("fp"), "lead"), edges, scratch).withColumnRenamed("lead", "least")
         kept = nodes.select(F.col("key").alias("fp"), "lead").join(found, "fp").where("lead = least")
         kept = scratch.result(kept.select("lead.key", "lead.mark"), "kept")

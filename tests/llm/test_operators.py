@@ -424,6 +424,48 @@ def test_near_copies_of_four_fifths_leave(spark, empty, hot, rounds, sent):
     assert any(4 * len(sets[a] | sets[b]) <= 5 * len(sets[a] & sets[b]) < 4.5 * len(sets[a] | sets[b]) for a, b in near)
 
 
+def test_stage_links_by_fingerprint_and_checks_the_sets(spark, monkeypatch):
+    import random
+
+    from tessera.llm import near_copies
+
+    draw = random.Random(8)
+    words = [f"w{draw.randrange(5000)}" for _ in range(3000)]
+    near = [" ".join(words[:k] + ["new"] + words[k + 1 :]) for k in (0, 700, 1500, 2999)]
+    dull = ["a b c " * 300 + " ".join(f"{kind}{k}" for k in range(60)) for kind in "xy"]  # one fingerprint, few common shingles
+    prints = [simhash_dedup.fingerprint(t) for t in near + dull]
+    assert all((prints[0] ^ p).bit_count() <= 3 for p in prints[:4]) and prints[4] == prints[5]
+    docs = spark.createDataFrame(list(enumerate(near + dull)), "doc_id bigint, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(near_copies, "links", lambda nodes, known, *a: seen.append(known.count()) or known)  # without the links that fingerprints don't tell
+    assert sorted(r.doc_id for r in simhash_dedup.stage(spark, docs).collect()) == [0, 4, 5] and seen[0] >= 3
+
+
+@pytest.mark.parametrize("hot", [simhash_dedup.HOT, 2])
+def test_candidates_of_the_stage_connect_all_within_three_bits(spark, hot):
+    import random
+
+    from tessera.llm.common import Scratch
+
+    draw = random.Random(3)
+    fps = [draw.getrandbits(64) for _ in range(20)]
+    for fp in list(fps):
+        for _ in range(5):
+            for at in draw.sample(range(64), draw.randrange(0, 4)):
+                fp ^= 1 << at
+            fps.append(fp)
+    nodes = spark.createDataFrame([(k, f - (1 << 64) * (f >> 63)) for k, f in enumerate(fps)], "key bigint, fp bigint").repartition(3)
+    root = list(range(len(fps)))
+
+    def low_end(a):
+        return a if root[a] == a else low_end(root[a])
+
+    with Scratch(spark) as s:
+        for r in simhash_dedup.candidates(nodes, s, hot=hot).collect():
+            root[low_end(r.fp)] = low_end(r.hub)
+    assert all(low_end(a) == low_end(b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3)
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")

@@ -160,15 +160,12 @@ def links(nodes: DataFrame, known: DataFrame, scratch: Scratch, hot: int = HOT,
         new = _marks(edges[-1], hubs.select(c("first.key").alias("key"), c("first.key").alias("mark")).distinct())
         new = new if marks is None else marks.unionAll(new.join(marks, "key", "left_anti"))
         marks = scratch.table(new, f"marks-{turn}")
-    rows = rows.drop("g")
-    if marks is not None:
-        rows = rows.join(marks, "key", "left")
-    else:
-        rows = rows.withColumn("mark", F.lit(None).cast("bigint"))
     fold = lambda k: reduce(lambda x, y: x.bitwiseXOR(y), [F.get("parity", F.lit(i)) for i in range(k, BITS // 64, 2)])  # noqa: E731  the parities of 128 bits
     before = _marks(known, known.select(c("hub").alias("key"), c("hub").alias("mark")).distinct()).withColumnRenamed("mark", "before")
+    # marks meet the sets, of which there are far fewer than rows of groups; each of these then takes one row of its set
     sides = nodes.select("key", fold(0).alias("u"), fold(1).alias("v")).join(before, "key", "left")
-    rows = scratch.table(rows.join(sides, "key"), "marked")
+    sides = sides.withColumn("mark", F.lit(None).cast("bigint")) if marks is None else sides.join(marks, "key", "left")
+    rows = scratch.table(rows.drop("g").join(sides, "key"), "marked")
     scratch.drop("groups")
     one = rows.where((c("n") - c("p") + 1) * (OVER + UNDER) >= c("n") * 2 * OVER)
     two = rows.toDF(*[f"{x}2" for x in rows.columns]).withColumnRenamed("gram2", "gram")

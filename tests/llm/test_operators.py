@@ -466,6 +466,35 @@ def test_candidates_of_the_stage_connect_all_within_three_bits(spark, hot):
     assert all(low_end(a) == low_end(b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3)
 
 
+def left_join_rows(plan):
+    """Rows that the left outer joins of a finished plan made."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return left_join_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return left_join_rows(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if kind.endswith("JoinExec") and plan.joinType().toString() == "LeftOuter" else []
+    return sum((left_join_rows(plan.children().apply(i)) for i in range(plan.children().size())), own)
+
+
+def test_marks_join_the_sets_and_not_the_rows_of_their_groups(spark, monkeypatch):
+    from tessera.llm.common import Scratch
+
+    made, table = {}, Scratch.table
+
+    def watched(self, df, name, **options):
+        if name == "marked":
+            made["rows"] = len(df.collect())
+            made["left"] = left_join_rows(df._jdf.queryExecution().executedPlan())
+        return table(self, df, name, **options)
+
+    monkeypatch.setattr(Scratch, "table", watched)
+    texts = [" ".join([*(f"common{w}" for w in range(60)), *(f"own{k}x{w}" for w in range(k % 7))]) + f" last{k}" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert [r.doc_id for r in simhash_dedup.stage(spark, docs, hot=5).collect()] == [0]
+    assert made["rows"] > 10 * len(texts) and made["left"] == [len(texts)] * 2
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")

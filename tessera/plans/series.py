@@ -38,12 +38,13 @@ def change(value: Column, before: Column, digits: int = 6) -> Column:
     """
     x = F.when(before == 0, value * F.pow(before, F.lit(-1.0))).otherwise(F.try_divide(value, before)) - 1
     scaled = x * 10.0**digits
-    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**digits).otherwise(x)
+    whole = F.when(F.round(scaled) == 0, scaled * 0.0).otherwise(F.round(scaled))  # a zero keeps its sign
+    return F.when(F.abs(scaled) < float("inf"), whole / 10.0**digits).otherwise(x)
 
 
 @query("SELECT event_id, round(value / lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1, 6) AS change FROM events")
 def pct_change(s, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    w = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
     rows = table(s, d, "events").select("event_id", "value", F.lag("value").over(w).alias("before"))
     return rows.select("event_id", change(F.col("value"), F.col("before")).alias("change"))
 
@@ -51,7 +52,7 @@ def pct_change(s, d):
 @query("WITH f AS (SELECT *, last_value(CASE WHEN value > 20 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM events) SELECT event_id, round(v / lag(v) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1, 6) AS change FROM f")
 def pct_change_filled(s, d):
     """Missing values (here those up to 20) take the last one before; the change is from row to row."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    w = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
     seen = F.last(F.when(F.col("value") > 20, F.col("value")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = table(s, d, "events").withColumn("v", seen).select("event_id", "v", F.lag("v").over(w).alias("before"))
     return rows.select("event_id", change(F.col("v"), F.col("before")).alias("change"))

@@ -357,3 +357,15 @@ def test_changes_from_zero_and_near_ties(spark, tmp_path, name):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     wanted = {e: repr(c) for e, c in con.execute(catalog.oracle_sql()[name]).fetchall()}
     assert {r.event_id: repr(r.change) for r in catalog.queries()[name](spark, str(tmp_path)).collect()} == wanted
+
+
+@pytest.mark.parametrize("name", ["pct_change", "pct_change_filled"])
+def test_changes_with_null_times_and_signed_zeros(spark, tmp_path, name):
+    rows = [(0, 7, 30.0), (1, None, 40.0), (2, None, 41.0), (3, 5, 25.0), (4, 9, 99.99999999), (5, 10, 100.0), (6, 11, 99.99999999), (None, 9, 50.0)]
+    df = spark.createDataFrame(rows, "event_id bigint, s bigint, value double")
+    df.select("event_id", F.lit(1).alias("user_id"), "value", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    wanted = {e: repr(c) for e, c in con.execute(catalog.oracle_sql()[name]).fetchall()}
+    assert "-0.0" in wanted.values()
+    assert {r.event_id: repr(r.change) for r in catalog.queries()[name](spark, str(tmp_path)).collect()} == wanted

@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontam, line_dedup, mixing, quality_rules, simhash_dedup
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, give_back
+
+
+def settled(stage):
+    """The stage; executors give memory back before its tables are made, and again before its rows are read."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        out = stage(spark, docs, sf_dir)
+        give_back(spark)
+        return out
+
+    return run
 
 
+@settled
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops failing lines, and documents that fail or lose too much."""
     return quality_rules.stage(spark, docs)
 
 
+@settled
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines whose template another document has already shown."""
     return line_dedup.stage(spark, docs)
 
 
+@settled
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group."""
     return simhash_dedup.stage(spark, docs)
 
 
+@settled
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten words in a row of a benchmark item."""
     return decontam.stage(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@settled
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources meet their targets."""
     return mixing.stage(spark, docs)

@@ -1,5 +1,6 @@
 """The operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import gc
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -508,3 +509,12 @@ def test_pipeline(spark, docs, empty, tmp_path):
     ids = {r.doc_id for r in at.collect()}
     assert ids <= {2, 7, 10, None, 15, 3} and 5 not in ids
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+def test_executors_collect_garbage_around_a_stage(spark, docs, tmp_path):
+    thing = spark._jvm.java.lang.Object()
+    left = spark._jvm.java.lang.ref.WeakReference(thing)
+    del thing
+    gc.collect()  # the gateway lets go of it
+    corpus_pipeline.rules(spark, docs, str(tmp_path))  # makes no table, so that nothing else collects
+    assert left.get() is None

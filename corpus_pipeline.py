@@ -7,18 +7,16 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontam, line_dedup, mixing, quality_rules, simhash_dedup
-from tessera.llm.common import Scratch, give_back
+from tessera.llm.common import Scratch, tidy
 
 
 def settled(stage):
-    """The stage; executors give memory back before its tables are made, and again before its rows are read."""
+    """The stage; executors give memory back before its tables are made, between them, and before its rows are read."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        give_back(spark)
-        out = stage(spark, docs, sf_dir)
-        give_back(spark)
-        return out
+        with tidy(spark):
+            return stage(spark, docs, sf_dir)
 
     return run
 

@@ -1,6 +1,5 @@
 """The operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
-import gc
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -10,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontam, html_extract, line_dedup, mixing, quality_classifier, quality_rules, queries, simhash_dedup, suffix_dedup, token_counts, toxicity
+from tessera.llm import common, decontam, html_extract, line_dedup, mixing, quality_classifier, quality_rules, queries, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, h string, name string, size string, marks string"
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
@@ -512,9 +511,22 @@ def test_pipeline(spark, docs, empty, tmp_path):
 
 
 def test_executors_collect_garbage_around_a_stage(spark, docs, tmp_path):
-    thing = spark._jvm.java.lang.Object()
-    left = spark._jvm.java.lang.ref.WeakReference(thing)
-    del thing
-    gc.collect()  # the gateway lets go of it
+    held = spark._jvm.java.util.WeakHashMap()
+    held.put("a key that nothing else holds", 1)
     corpus_pipeline.rules(spark, docs, str(tmp_path))  # makes no table, so that nothing else collects
-    assert left.get() is None
+    assert held.size() == 0
+
+
+def test_executors_collect_garbage_between_tables_of_a_stage(spark, monkeypatch):
+    times = []
+    monkeypatch.setattr(common, "give_back", lambda s: times.append(s))
+    monkeypatch.setattr(common, "TIDY", -1)
+    with common.Scratch(spark) as scratch:
+        scratch.table(spark.range(3), "plain")
+        assert not times
+        with common.tidy(spark):
+            assert scratch.table(spark.range(3), "tidied").count() == 3
+            assert len(times) == 2
+        assert len(times) == 3
+        scratch.table(spark.range(3), "after")
+    assert len(times) == 3

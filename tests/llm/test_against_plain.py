@@ -263,6 +263,18 @@ def test_hot_passage_with_many_ends(spark, hot):
     assert got == want
 
 
+def test_repeat_beside_a_long_text(spark):
+    draw = random.Random(4)
+    letters = lambda n: "".join(draw.choices("abcdefghij ", k=n))
+    # the two least digests of the passage differ only in their last 22 bits
+    passage = "quwdq uwmrwafexsvkqqqcnq jnmyawifivhlszxszmwyekmdyswpejvxfliigqj" + letters(272) + "mlp fjefeoeukwqghllyonj snsveyvtjxyagktavvwqnhcukvbirqaacipdvc q"
+    before, after = letters(1 << 21), letters(300)
+    docs = spark.createDataFrame([(1, passage), (2, before + passage + after)], "doc_id bigint, text string").repartition(2, "doc_id")
+    with Scratch(spark) as scratch:
+        got = {r.doc_id: (r.spans, bytes(r.kept).decode()) for r in suffix_dedup.dedup_spans(docs, scratch).collect()}
+    assert got == {1: ([0, 400], ""), 2: ([len(before), len(before) + 400], before + after)}
+
+
 # 5: pieces of long texts, and writers that race
 
 
